@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, urlfilter
+from . import fingerprint, langid, linededup, mixing, neardup, urlfilter
 from .common import blocks_for, shuffle_partitions, table
 
 
@@ -24,6 +24,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    found = neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "keep")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every url of pages."""
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -35,14 +41,37 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(docs, max(shuffle_partitions(spark), blocks_for(spark, docs, 4.0)))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of repeated runs of lines."""
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: Runs of two lines decide: a longer run that begins earlier too is made of such.
+OP10_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents),
+s AS (SELECT doc_id, idx, line, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS seq FROM l WHERE trim(line) <> ''),
+w AS (SELECT doc_id, seq, line, lead(line) OVER (PARTITION BY doc_id ORDER BY seq) AS next_line FROM s),
+f AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, seq) AS nth FROM w WHERE next_line IS NOT NULL),
+d AS (SELECT doc_id, seq FROM f WHERE nth > 1 UNION SELECT doc_id, seq + 1 FROM f WHERE nth > 1),
+g AS (SELECT s.doc_id, s.idx FROM s JOIN d USING (doc_id, seq)),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.idx) AS n_removed,
+             coalesce(string_agg(l.line, chr(10) ORDER BY l.idx) FILTER (WHERE g.idx IS NULL), '') AS kept
+      FROM l LEFT JOIN g USING (doc_id, idx) GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op3_mix_sources": op3_mix_sources,
+        "op6_near_duplicates": op6_near_duplicates,
         "op8_url_filter": op8_url_filter,
         "op9_fingerprints": op9_fingerprints,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": OP10_SQL}
