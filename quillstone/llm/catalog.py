@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, linededup, mixing, neardup, urlfilter
+from . import fingerprint, langid, linededup, mixing, neardup, passages, urlfilter
 from .common import blocks_for, shuffle_partitions, table
 
 
@@ -24,6 +24,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside passages that an earlier document has."""
+    found = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     found = neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op3_mix_sources": op3_mix_sources,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_near_duplicates": op6_near_duplicates,
         "op8_url_filter": op8_url_filter,
         "op9_fingerprints": op9_fingerprints,
