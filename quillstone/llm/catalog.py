@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, linededup, mixing, neardup, passages, urlfilter
+from . import decontam, fingerprint, langid, linededup, mixing, neardup, passages, urlfilter
 from .common import blocks_for, shuffle_partitions, table
 
 
@@ -19,6 +19,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, copied or reworded."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    found = decontam.with_hits(docs, items).filter(F.size("hits") > 0)
+    return found.select("doc_id", F.inline("hits"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix at 150 % of all words takes from each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -68,15 +75,24 @@ SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM k
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_decontaminate": op2_decontaminate,
         "op3_mix_sources": op3_mix_sources,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_near_duplicates": op6_near_duplicates,
         "op8_url_filter": op8_url_filter,
         "op9_fingerprints": op9_fingerprints,
         "op10_line_dedup": op10_line_dedup,
+        "pipeline": pipeline,
     }
 
 

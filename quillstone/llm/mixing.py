@@ -102,7 +102,7 @@ def mix(
     counted.sort(key=lambda r: (r.source is None, r.source or ""))
     words, n_rows = [r.words for r in counted], [r.rows for r in counted]
     targets = water_fill(words, [weights[i % len(weights)] for i in range(len(words))], share * sum(words), max_repeats)
-    block = max(1, min([256, *(w // 64 for w in words if w)]))
+    block = max(1, min([256, *(w // 1024 for w in words if w)]))
     shard_rows = max(shard_rows, math.ceil(sum(n_rows) / max_shards))
     source_rows = [(i, r.source, words[i], targets[i], math.ceil(n_rows[i] / shard_rows)) for i, r in enumerate(counted)]
     sources = spark.createDataFrame(source_rows, "sid int, source_name string, source_size long, target double, shards int")
