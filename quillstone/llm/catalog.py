@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, licenses, linededup, mixing, neardup, passages, urlfilter
+from . import decontam, fingerprint, langid, licenses, linededup, mixing, neardup, ngramlm, passages, urlfilter
 from .common import blocks_for, shuffle_partitions, table
 
 
@@ -48,6 +48,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "keep")
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document under counts of all documents."""
+    return ngramlm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every url of pages."""
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scan": op4_license_scan,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_near_duplicates": op6_near_duplicates,
+        "op7_lm_scores": op7_lm_scores,
         "op8_url_filter": op8_url_filter,
         "op9_fingerprints": op9_fingerprints,
         "op10_line_dedup": op10_line_dedup,
