@@ -320,16 +320,16 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines(lines.clean_words(inputs.words(spark, sf_dir)))
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, page, line_num, md5(text) AS text, round(conf, 6) AS conf, x0, y0, x1, y1 FROM li")
+@query(f"WITH {LINES_SQL} SELECT doc_id, page, line_num, md5(text) AS text, round(conf + 1e-9, 6) AS conf, x0, y0, x1, y1 FROM li")
 def lines_from_words(spark, sf_dir):
-    return _lines(spark, sf_dir).select("doc_id", "page", "line_num", F.md5(F.col("text").cast("binary")).alias("text"), F.round("conf", 6).alias("conf"), "x0", "y0", "x1", "y1")
+    return _lines(spark, sf_dir).select("doc_id", "page", "line_num", F.md5(F.col("text").cast("binary")).alias("text"), F.round(F.col("conf") + 1e-9, 6).alias("conf"), "x0", "y0", "x1", "y1")
 
 
-@query(f"WITH {LINES_SQL}, pc AS (SELECT doc_id, page, avg(conf) AS c FROM li GROUP BY ALL) SELECT doc_id, round(avg(c), 6) AS mean_conf, count(*) AS pages FROM pc GROUP BY doc_id")
+@query(f"WITH {LINES_SQL}, pc AS (SELECT doc_id, page, avg(conf) AS c FROM li GROUP BY ALL) SELECT doc_id, round(avg(c) + 1e-9, 6) AS mean_conf, count(*) AS pages FROM pc GROUP BY doc_id")
 def document_confidence(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     pages = rows.select("doc_id", "page").distinct().withColumn("source", F.lit("ocr"))
-    return lines.document_confidence(lines.page_confidence(rows, pages)).withColumn("mean_conf", F.round("mean_conf", 6))
+    return lines.document_confidence(lines.page_confidence(rows, pages)).withColumn("mean_conf", F.round(F.col("mean_conf") + 1e-9, 6))
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, page, CAST(median(y1 - y0) AS DOUBLE) AS median_height FROM li GROUP BY ALL")
