@@ -163,10 +163,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, same) of pairs of node numbers."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return settled(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long, same boolean"), "near-verified")
+    return settled(pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long, same boolean"), "near-verified")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, roots: DataFrame, ends: bool = False) -> DataFrame:
+    """Rows of ``pairs`` (a, b, ...) whose nodes have different roots; with ``ends`` the pairs of roots."""
+    known = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    known = known.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")}).filter("root_a <> root_b")
+    return settled(known.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "near-ends") if ends else known.select(*pairs.columns)
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over ``links`` (a, b) from each linked node.
 
     Every round each node takes the least root among itself and its neighbours, then
@@ -185,15 +192,41 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return roots
 
 
-def classes(docs: DataFrame, more_rounds: int = 2) -> DataFrame:
+def rooted(links: DataFrame) -> DataFrame:
+    """(node, root) of nodes b from ``links`` (a, b) in which each b has one a, a lesser one: pointers jump until they are at a root."""
+    roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    while True:
+        above = roots.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+        jumped = settled(roots.join(above, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "near-roots")
+        roots = jumped.select("node", "root")
+        if jumped.filter("moved").isEmpty():
+            return roots
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more ``links`` (a, b): only their ends' roots are joined into components."""
+    if links.isEmpty():
+        return roots
+    ends = _apart(links, roots, ends=True)
+    if ends.isEmpty():
+        return roots
+    tops = components(ends).filter("node <> root")
+    moved = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return settled(moved.unionByName(tops), "near-roots")
+
+
+def classes(docs: DataFrame, more_rounds: int = 0) -> DataFrame:
     """Near-duplicate class of each row of ``docs`` (doc_id, text): doc_id, digest (of the text), class_id, keep.
 
+    Joins of tables that grow with the corpus are sort-merge joins at every size, so
+    plans and shuffles are alike at every size and hot buckets can be split.
+
     Equal texts are one node from the start, so copies are never paired. A bucket of
     nodes with an equal sketch number links each node to the bucket's first node,
-    never all pairs; nodes that alignment doesn't confirm go on to a next round with
-    a first node of their own, ``more_rounds`` times, and what is still left (texts
-    that share a passage but no more) is bucketed by two neighbouring sketch numbers
-    at once. Links join into classes; class_id is the least doc_id of a class.
+    never all pairs, and of a node's pairs only those are aligned that connect what isn't
+    connected yet. Nodes that are not connected to their bucket's first (texts that share
+    a passage but no more) are then bucketed by two neighbouring sketch numbers at once;
+    with ``more_rounds`` they get so many rounds with a first node of their own before. Links join into classes; class_id is the least doc_id of a class.
 
     ``keep`` is true for the row whose doc_id is the class_id (of rows with the same
     doc_id and text, all). A null text counts as an empty one; texts without any word
@@ -211,39 +244,36 @@ def classes(docs: DataFrame, more_rounds: int = 2) -> DataFrame:
     members = nodes.filter("n_words > 0").select("node", "n_words", F.posexplode("sketch").alias("band", "value"), F.col("sketch"))
     members = members.withColumn("value2", F.element_at("sketch", (F.col("band") + 1) % SKETCHES + 1)).drop("sketch")
     sized = members.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    members = settled(members.join(settled(sized, "near-buckets").drop("n"), ["band", "value"]), "near-members")
+    members = settled(members.join(settled(sized, "near-buckets").drop("n").hint("merge"), ["band", "value"]), "near-members")
 
     def first_of(left: DataFrame, *keys: str) -> DataFrame:
         """Pairs of each bucket's first node with the others."""
         firsts = settled(left.groupBy(*keys).agg(F.min_by(F.struct("node", "n_words"), "node").alias("f")).select(*keys, F.col("f.node").alias("a"), F.col("f.n_words").alias("n_a")), "near-firsts")
-        return left.withColumnsRenamed({"node": "b", "n_words": "n_b"}).join(firsts, list(keys)).filter("a <> b")
+        return left.withColumnsRenamed({"node": "b", "n_words": "n_b"}).join(firsts.hint("merge"), list(keys)).filter("a <> b")
 
-    texts, links, left, done = None, None, members, None
+    wanted = settled(members.select("node").distinct().join(nodes.select("node", "digest", "doc_id").hint("merge"), "node"), "near-wanted")
+    found = rows.join(wanted.withColumnRenamed("doc_id", "of").hint("merge"), "digest").filter(F.col("doc_id").eqNullSafe(F.col("of")))
+    texts = settled(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+    left, roots = members, None
     for turn in range(more_rounds + 2):
-        keys = ["band", "value"] if turn <= more_rounds else ["band", "value", "value2"]
-        linked = settled(first_of(left, *keys), "near-pairs")
-        pairs = linked.filter(near).select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = settled(pairs, "near-candidates")
-        if texts is None:
-            wanted = settled(members.select("node").distinct().join(nodes.select("node", "digest", "doc_id"), "node"), "near-wanted")
-            found = rows.join(wanted.withColumnRenamed("doc_id", "of"), "digest").filter(F.col("doc_id").eqNullSafe(F.col("of")))
-            texts = settled(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-        if not pairs.isEmpty():
-            new = _verified(pairs, texts)
-            done = new if done is None else done.unionByName(new)
-            links = done.filter("same").select("a", "b")
-        # What its bucket's first node didn't confirm has another turn.
-        said = linked.join(done, ["a", "b"], "left") if done is not None else linked.withColumn("same", F.lit(False))
-        left = settled(said.filter("not coalesce(same, false)").select("band", "value", "value2", F.col("b").alias("node"), F.col("n_b").alias("n_words")), "near-left")
+        last = turn > more_rounds
+        linked = settled(first_of(left, "band", "value", *(["value2"] if last else [])), "near-linked")
+        pairs = settled(linked.filter(near).select("a", "b").distinct(), "near-pairs")
+        # One pair a node first; of its others only those that these don't connect already.
+        tried = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
+        same = tried.filter("same").select("a", "b")
+        roots = rooted(same) if roots is None else merged(roots, same)
+        others = settled(_apart(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), roots), "near-others")
+        if not others.isEmpty():
+            roots = merged(roots, _verified(others, texts).filter("same").select("a", "b"))
+        if last:
+            break
+        # Whom its bucket's first node isn't connected to has another turn.
+        left = settled(_apart(linked, roots).select("band", "value", "value2", F.col("b").alias("node"), F.col("n_b").alias("n_words")), "near-left")
         if left.isEmpty():
             break
     owners = nodes.select("node", "digest", "doc_id")
-    if links is not None:
-        owners = owners.join(components(nodes, links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        owners = owners.withColumn("root", F.col("node"))
+    owners = owners.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     owners = settled(owners, "near-owners")
     named = owners.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min_by("digest", F.struct("doc_id", "digest")).alias("kept"))
     named = settled(owners.join(settled(named, "near-classes"), "root").select("digest", "class_id", "kept"), "near-named")
