@@ -69,21 +69,33 @@ def template_sets(spark: SparkSession, templates=TEMPLATES) -> list[dict]:
     return found
 
 
+def anchors(tokens: list[str]) -> set[str]:
+    """Longest words of a template without all of which more than a fifth of its shingles
+    are missing: a text that has none of them can't reach the containment."""
+    n = len(tokens) - SHINGLE + 1
+    sets = [set(tokens[i : i + SHINGLE]) for i in range(n)]
+    chosen: set[str] = set()
+    for word in sorted(set(tokens), key=lambda w: (-len(w), w)):
+        if len({tuple(sorted(s)) for s in sets if s & chosen}) > (1 - CONTAINED) * n:
+            break
+        chosen.add(word)
+    return chosen
+
+
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Licenses in each row of ``docs`` (doc_id, text): doc_id, license, containment (the share of
     a template's shingles, 0.8 to 1, in one window), windows (how many windows have as much).
 
-    Only texts with at least one word that every template shingle needs one of (the
-    longest word of each shingle) are cut into windows: without it no shingle, so no
-    minimum, can agree. One row for each license of a row of ``docs``; rows with the same
+    Only texts with one of the templates' ``anchors`` are cut into windows: the others
+    can't have 80 % of any template's shingles. One row for each license of a row of ``docs``; rows with the same
     doc_id are told apart. Null, empty and short texts have none; an empty table gives no
     rows; other columns are not read. Hashes of templates are broadcast: their number is fixed.
     """
     spark = docs.sparkSession
     known = template_sets(spark, templates)
-    anchors = sorted({max(t["tokens"][i : i + SHINGLE], key=lambda w: (len(w), w)) for t in known for i in range(len(t["tokens"]) - SHINGLE + 1)})
+    needed = sorted(set().union(*(anchors(t["tokens"]) for t in known)))
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), ascii_words(F.col("text")).alias("tokens"))
-    rows = rows.filter(F.arrays_overlap("tokens", F.array(*(F.lit(a) for a in anchors))))
+    rows = rows.filter(F.arrays_overlap("tokens", F.array(*(F.lit(a) for a in needed))))
     rows = settled(rows.withColumn("own", shingles(F.col("tokens"))).filter(F.size("own") > 0).select("doc_id", "row", "own"), "license-texts")
     sizes: dict[int, list[dict]] = {}
     for t in known:  # classes of lengths by powers of two
