@@ -39,17 +39,10 @@ def family_of(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang in members), f"only {lang}")
 
 
-def _sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-gram numbers of all texts in a row, and where each text begins.
-
-    Texts are lower-cased; what isn't a letter is one space; a space also stands at both ends.
-    """
-    joined = "".join(f" {t.lower()} " for t in texts)
-    lengths = np.fromiter((len(t.lower()) + 2 for t in texts), np.int64, len(texts))
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(_letters(codes), codes, 32).astype(np.uint32)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(texts) else np.zeros(0, np.int64)
-    return codes, starts, lengths
+def _codes(text: str) -> np.ndarray:
+    """Lower-cased code points; what isn't a letter is a space; a space also stands at both ends."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_letters(codes), codes, 32).astype(np.uint32)
 
 
 _LETTER = np.zeros(0x110000, bool)
@@ -71,30 +64,40 @@ def _grams(codes: np.ndarray) -> Iterator[np.ndarray]:
         shifted = np.concatenate([codes[:n], codes[:-n]]) if len(codes) > n else codes
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """Dense features of a few texts, for training: roots of n-gram shares, length 1."""
-    out = np.zeros((len(texts), 1 << BITS), np.float32)
-    for i, t in enumerate(texts):
-        codes, _, _ = _sums([t])
-        for g in _grams(codes):
-            out[i] += np.bincount(g, minlength=1 << BITS)
-    out = np.sqrt(out)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+Row = tuple[np.ndarray, np.ndarray]
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: int = 1) -> np.ndarray:
-    """Weights of an L2-regularised squared-hinge linear SVM (dual coordinate descent); the last is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(x))
-    norms, order = (x * x).sum(1) + 0.5 / c, np.arange(len(x))
+def features(text: str) -> Row | None:
+    """Numbers of a whole text's n-grams and roots of their counts, to length 1; None without
+    a letter. A long text is taken in pieces whose counts are added, so memory stays bounded."""
+    counts, letters = np.zeros(1 << BITS, np.int32), False
+    for at in range(0, len(text), PIECE_CHARS):
+        codes = _codes(text[at : at + PIECE_CHARS])
+        letters = letters or bool((codes != 32).any())
+        for g in _grams(codes):
+            counts += np.bincount(g, minlength=1 << BITS).astype(np.int32)
+    if not letters:
+        return None
+    hit = np.flatnonzero(counts)
+    root = np.sqrt(counts[hit].astype(np.float32))
+    return hit.astype(np.int32), root / np.linalg.norm(root)
+
+
+def linear_svm(rows: list[Row], y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: int = 1) -> np.ndarray:
+    """Weights of an L2-regularised squared-hinge linear SVM (dual coordinate descent on sparse rows); the last is the bias."""
+    w, alpha = np.zeros((1 << BITS) + 1, np.float32), np.zeros(len(rows))
+    norm, order = 2.0 + 0.5 / c, np.arange(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
         for i in order:
-            g = y[i] * float(x[i] @ w) - 1 + alpha[i] * 0.5 / c
-            new = max(0.0, alpha[i] - g / norms[i])
+            hit, value = rows[i]
+            g = y[i] * float(w[hit] @ value + w[-1]) - 1 + alpha[i] * 0.5 / c
+            new = max(0.0, alpha[i] - g / norm)
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                step = np.float32((new - alpha[i]) * y[i])
+                w[hit] += step * value
+                w[-1] += step
                 alpha[i] = new
     return w
 
@@ -106,7 +109,7 @@ class LanguageModel:
     langs: list[str]
     families: list[str]
     pairs: list[tuple[str, str]]
-    weights: np.ndarray  # (2**BITS + 1, families + pairs)
+    weights: np.ndarray  # (2**BITS + 1, families + pairs); the last row is the bias
     scale: list[float] = field(default_factory=list)
 
     def decide(self, margins: np.ndarray) -> tuple[str, float]:
@@ -129,42 +132,25 @@ class LanguageModel:
 
 def train(texts: list[str], langs: list[str]) -> LanguageModel:
     """Fit family and pair SVMs on labelled texts (texts without letters don't count)."""
-    kept = [(t, x) for t, x in zip(texts, langs, strict=True) if any(ch.isalpha() for ch in t)]
-    x, y = features([t for t, _ in kept]), np.array([v for _, v in kept], dtype=object)
-    names = sorted(set(y))
+    kept = [(row, lang) for row, lang in ((features(t), x) for t, x in zip(texts, langs, strict=True)) if row is not None]
+    names = sorted({lang for _, lang in kept})
     families = sorted({family_of(v) for v in names})
-    of = np.array([family_of(v) for v in y], dtype=object)
     pairs = [(a, b) for a, b in itertools.combinations(names, 2) if family_of(a) == family_of(b)]
-    columns = [linear_svm(x, np.where(of == f, 1.0, -1.0)) if len(families) > 1 else np.zeros(x.shape[1] + 1, np.float32) for f in families]
+    rows, of = [row for row, _ in kept], [family_of(lang) for _, lang in kept]
+    columns = [linear_svm(rows, np.array([1.0 if x == f else -1.0 for x in of])) if len(families) > 1 else np.zeros((1 << BITS) + 1, np.float32) for f in families]
     for a, b in pairs:
-        rows = (y == a) | (y == b)
-        columns.append(linear_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0)))
-    weights = np.stack(columns, axis=1) if columns else np.zeros((x.shape[1] + 1, 0), np.float32)
+        two = [(row, 1.0 if lang == a else -1.0) for row, lang in kept if lang in (a, b)]
+        columns.append(linear_svm([row for row, _ in two], np.array([v for _, v in two])))
+    weights = np.stack(columns, axis=1) if columns else np.zeros(((1 << BITS) + 1, 0), np.float32)
     return LanguageModel(names, families, pairs, weights.astype(np.float32), [6.0] * weights.shape[1])
 
 
 def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and score of whole texts: ``und`` and 0 where there is no letter.
-
-    A long text is taken in pieces whose n-gram counts are added, so memory stays bounded.
-    """
+    """Language and score of whole texts: ``und`` and 0 where there is no letter."""
     langs, scores = [], []
-    bias = model.weights[-1]
     for t in texts:
-        counts, any_letter = np.zeros(1 << BITS, np.float32), False
-        for at in range(0, len(t or ""), PIECE_CHARS):
-            codes, _, _ = _sums([t[at : at + PIECE_CHARS]])
-            any_letter = any_letter or bool((codes != 32).any())
-            for g in _grams(codes):
-                counts += np.bincount(g, minlength=1 << BITS)
-        if not any_letter or not model.langs:
-            langs.append(UND)
-            scores.append(0.0)
-            continue
-        hit = np.flatnonzero(counts)
-        root = np.sqrt(counts[hit])
-        margins = root @ model.weights[hit] / np.linalg.norm(root) + bias
-        lang, score = model.decide(margins)
+        row = features(t or "") if model.langs else None
+        lang, score = (UND, 0.0) if row is None else model.decide(row[1] @ model.weights[row[0]] + model.weights[-1])
         langs.append(lang)
         scores.append(score)
     return langs, scores
