@@ -38,13 +38,13 @@ class PipelineProfile:
     paddle_limit: int = 2000
 
 
-#: The named profiles.
+#: The named profiles; "finetuned" stands for a model of one's own.
 PROFILES: dict[str, PipelineProfile] = {
     "fast": PipelineProfile(tessdata="fast", orientation=False, deskew=False, denoise=False, digit_pass=False, base_dpi=250),
     "balanced": PipelineProfile(tessdata="fast"),
     "accurate": PipelineProfile(tessdata="fast", base_dpi=400),
-    "ft-balanced": PipelineProfile(lang="kzru_doc"),
-    "ft-accurate": PipelineProfile(lang="kzru_doc", psm=4, base_dpi=400),
+    "ft-balanced": PipelineProfile(lang="finetuned"),
+    "ft-accurate": PipelineProfile(lang="finetuned", psm=4, base_dpi=400),
 }
 
 
