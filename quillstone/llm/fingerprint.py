@@ -14,8 +14,6 @@ of two fingerprints an estimate of the cosine of their sentence multisets.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,24 +37,31 @@ def sentences(paragraph: Column) -> Column:
     return F.filter(F.split(paragraph, r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")
 
 
-def fingerprint(text: Column) -> Column:
-    """Fingerprint of a text as array<bigint>: 4 equality lanes, the count, 30 packed
-    numbers. Null and empty texts have the zero vector."""
-    lines = paragraphs(text)
-    digests = F.transform(lines, lambda x: F.sha2(x, 256))
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the fingerprint of column ``text`` as array<bigint> column ``name``: 4
+    equality lanes, the count, 30 packed numbers. Null and empty texts have the zero vector.
+
+    Lines, digests, sentences and hashes are columns of their own steps, so none is computed twice.
+    """
+    step = df.withColumn("_lines", paragraphs(F.col(text)))
+    step = step.withColumns({"_digests": F.transform("_lines", lambda x: F.sha2(x, 256)), "_pieces": F.flatten(F.transform("_lines", sentences))}).drop("_lines")
+
+    def hashed(h: int) -> Column:
+        return F.transform("_pieces", lambda x: F.xxhash64(x, F.lit(h)))
+
+    step = step.withColumns({f"_hash{h}": hashed(h) for h in range(HASHES)}).drop("_pieces")
 
     def exact(i: int) -> Column:
-        return F.aggregate(digests, F.lit(0).cast("long"), lambda acc, d: (acc + F.conv(F.substring(d, 1 + 15 * i, 15), 16, 10).cast("long")).bitwiseAND(F.lit(2**60 - 1)))
+        return F.aggregate("_digests", F.lit(0).cast("long"), lambda acc, d: (acc + F.conv(F.substring(d, 1 + 15 * i, 15), 16, 10).cast("long")).bitwiseAND(F.lit(2**60 - 1)))
 
-    pieces = F.flatten(F.transform(lines, sentences))
-    packed = []
-    for h in range(HASHES):
-        hashes = F.transform(pieces, lambda x, h=h: F.xxhash64(x, F.lit(h)))
-        zero = F.array(*[F.lit(0).cast("long")] * SHIFTS)
+    def packed(h: int) -> Column:
         # One step a sentence: each packed number gets one bit for each lane, then drops the carries.
-        packed.append(F.aggregate(hashes, zero, lambda acc, x: F.array(*((acc[k] + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(ONES))).bitwiseAND(F.lit(LANES)) for k in range(SHIFTS)))))
-    count = F.size(pieces).cast("long").bitwiseAND(F.lit(2**COUNT_BITS - 1))
-    return F.concat(F.array(*(exact(i) for i in range(EXACT)), count), *packed)
+        zero = F.array(*[F.lit(0).cast("long")] * SHIFTS)
+        return F.aggregate(f"_hash{h}", zero, lambda acc, x: F.array(*((acc[k] + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(ONES))).bitwiseAND(F.lit(LANES)) for k in range(SHIFTS))))
+
+    count = F.size("_hash0").cast("long").bitwiseAND(F.lit(2**COUNT_BITS - 1))
+    lanes = F.concat(F.array(*(exact(i) for i in range(EXACT)), count), *(packed(h) for h in range(HASHES)))
+    return step.withColumn(name, lanes).drop("_digests", *(f"_hash{h}" for h in range(HASHES)))
 
 
 def _mask(i: Column) -> Column:
@@ -105,25 +110,35 @@ def with_next(docs: DataFrame, buckets: int, *carried: str) -> DataFrame:
     value in the next row by descending doc_id (nulls last; equal ids by text), after
     the last the first.
 
-    One shuffle: rows are dealt into buckets of neighbouring doc_id whose bounds are
-    quantiles (at most ``buckets`` numbers reach the driver). The first rows of a
-    bucket also go to the bucket before it, where they only serve as next of its last row.
+    One shuffle: rows are dealt into about ``buckets`` buckets of neighbouring doc_id with
+    about as many rows each. Bounds come from counts in eight times as many equal
+    ranges of doc_id, which are all that reaches the driver and is broadcast. The first rows
+    of a bucket also go to the bucket before it, where they only serve as next of its last row.
     """
-    bounds = sorted(set(docs.stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
-    bounds = [int(b) for b in bounds]
-    bucket = reduce(lambda rest, b: F.when(F.col("doc_id") >= b, F.lit(-b)).otherwise(rest), bounds, F.lit(2**62)) if bounds else F.lit(2**62)
-    # A bucket is named by its order: the negated lower bound, so descending doc_id is ascending bucket.
-    dealt = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(2**62)).otherwise(bucket).cast("long"))
-    firsts = sorted((r.bucket, r.most, r.rows) for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("most"), F.count("*").alias("rows")).collect())
-    if not firsts:
-        return docs.withColumns({f"next_{c}": F.lit(None).cast(docs.schema[c].dataType) for c in carried})
-    names = [b for b, _, _ in firsts]
-    before = dict(zip(names, [names[-1], *names[:-1]], strict=True))
-    copies = F.lit(None).cast("long")
-    for name, most, _ in firsts:
-        copies = F.when((F.col("bucket") == name) & F.col("doc_id").eqNullSafe(F.lit(most).cast("long")), F.lit(before[name])).otherwise(copies)
-    both = dealt.withColumn("to", F.array_compact(F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("spare")), F.when(copies.isNotNull(), F.struct(copies.alias("at"), F.lit(True).alias("spare"))))))
-    both = both.withColumn("to", F.explode("to")).select(*(F.col(c) for c in docs.columns), "to.at", "to.spare")
+    spark, number = docs.sparkSession, F.col("doc_id").cast("long")
+    ends = docs.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()
+    low = ends.low if ends.low is not None else 0
+    width = max(1.0, ((ends.high or 0) - low + 1) / (8.0 * buckets))
+    # Cells ascend as doc_id descends; null ids are the last.
+    cell = F.coalesce(-F.floor((number.cast("double") - F.lit(float(low))) / F.lit(width)).cast("long"), F.lit(1)).cast("long")
+    counted = sorted((r.cell, r.most, r["rows"]) for r in docs.groupBy(cell.alias("cell")).agg(F.max(number).alias("most"), F.count("*").alias("rows")).collect())
+    each = sum(n for _, _, n in counted) / buckets
+    plan, filled, bucket, starts = [], 0, -1, []
+    for name, most, n in counted:
+        if bucket < 0 or filled + n / 2 > each:
+            bucket, filled = bucket + 1, 0
+            starts.append((name, most))
+        plan.append([name, bucket, None, None])
+        filled += n
+    last, first_id = bucket, dict(starts)
+    for row in plan:
+        if row[0] in first_id:
+            row[2], row[3] = first_id[row[0]], row[1] - 1 if row[1] else last
+    where = spark.createDataFrame([tuple(r) for r in plan], "cell long, bucket long, most long, before long")
+    dealt = docs.withColumn("cell", cell).join(F.broadcast(where), "cell")
+    spare = F.when(F.col("before").isNotNull() & number.eqNullSafe(F.col("most")), F.struct(F.col("before").alias("at"), F.lit(True).alias("spare")))
+    both = dealt.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("spare")), spare))))
+    both = both.select(*docs.columns, "to.at", "to.spare")
     order = Window.partitionBy("at").orderBy("spare", F.desc_nulls_last("doc_id"), *[F.col(c) for c in ("text",) if c in docs.columns])
     return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).filter(~F.col("spare")).drop("at", "spare")
 
@@ -137,12 +152,12 @@ def with_edits(docs: DataFrame, buckets: int) -> DataFrame:
     repeated doc_id are ordered as ``with_next`` says; other columns are not read.
     """
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    own = with_next(own.withColumn("lanes", fingerprint(F.col("text"))), buckets, "text", "lanes")
+    own = with_next(with_fingerprint(own, "text", "lanes"), buckets, "text", "lanes")
     n_chars = F.length("text").cast("long")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.left(F.col("text"), F.col("n_chars").cast("int") - half), F.left(F.col("next_text"), half))
     rows = own.withColumn("n_chars", n_chars).withColumn("edited", edited)
-    rows = rows.withColumn("edited_lanes", fingerprint(F.col("edited")))
+    rows = with_fingerprint(rows.drop("next_text"), "edited", "edited_lanes")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         as_hex(F.col("lanes")).alias("fingerprint"), as_hex(F.col("edited_lanes")).alias("edited_fingerprint"),
