@@ -1,11 +1,11 @@
 """License scans: MinHash bands over overlapping windows, then exact shingle containment.
 
 A text is lower-cased ASCII words; templates and windows are sets of five-word
-shingles. For every class of template lengths, windows twice as long as its longest
-template begin every template length, so a window holds every occurrence whole. A
-window and a template are candidates if one of ``BANDS`` minimum hashes is equal
-(bands of one row: with a Jaccard index of j all differ with probability
-(1 - j)**BANDS). The shingles of the template that the window has are counted exactly.
+shingles. For every class of template lengths (up to 8, 16, 32 ... words), windows a
+quarter longer than its longest template begin every quarter, so a window holds every
+occurrence whole. A window and a template are candidates if one of ``BANDS`` minimum
+hashes is equal (bands of one row: with a Jaccard index of j all differ with
+probability (1 - j)**BANDS; five words in a window of ten have j = 1/6, so 0.0007). The shingles of the template that the window has are counted exactly.
 """
 
 from __future__ import annotations
@@ -101,8 +101,9 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     for t in known:  # classes of lengths by powers of two
         sizes.setdefault(1 << math.ceil(math.log2(len(t["tokens"]))), []).append(t)
     found = None
-    for step, members in sorted(sizes.items()):
-        span = 2 * step - SHINGLE + 1
+    for longest, members in sorted(sizes.items()):
+        step = max(2, longest // 4)
+        span = longest + step - SHINGLE + 1
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("own")), F.lit(step))
         windows = rows.select("doc_id", "row", "own", F.explode(starts).alias("start")).select("doc_id", "row", F.expr(f"slice(own, start, {span})").alias("part"))
         values = sorted({v for t in members for v in t["values"]})
