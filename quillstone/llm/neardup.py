@@ -1,15 +1,22 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-A sketch of a text takes the ``TUPLE`` five-word k-mers with the least hashes
+A sketch of a text takes the ``TUPLE`` three-word k-mers with the least hashes
 (k-mers labelled with the number of their occurrence) and hashes them in text
-order, so it depends on order as edit similarity does. Texts with an equal sketch
-number are candidates; their word-level edit similarity is computed by a
-bit-parallel alignment in a band as wide as the threshold allows.
+order. Texts with ``SHARED`` equal sketch numbers (texts of under ``FEW`` words with
+one) are candidates; those of up to ``SHORT`` words also meet in a key of the words
+that are left when as many are deleted as may differ, which loses none. Word-level
+edit similarity of candidates is computed by a bit-parallel alignment in a band as
+wide as the threshold allows.
+
+A pair at 0.8 whose every fifth word differs, the worst case, keeps 0.4 of its
+three-word k-mers and is a candidate with a probability of 0.99 at every length;
+with random places of the changes it is above 0.999 for long texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +26,10 @@ from pyspark.sql import functions as F
 from . import words
 from .common import settled
 
-K, TUPLE, SKETCHES, THRESHOLD = 5, 2, 24, 0.8
+K, TUPLE, SKETCHES, THRESHOLD = 3, 1, 28, 0.8
+SHARED, FEW, SHORT = 2, 30, 14
+#: Cells of the word counts that tell texts apart before they are aligned.
+CELLS = 256
 
 
 def normal_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -30,7 +40,7 @@ def normal_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def sketches(texts: list[str], count: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
     """Order MinHash numbers (texts x count, int64) and the numbers of words.
 
-    A text of fewer than five words is one k-mer of all its words; one without any
+    A text of fewer words than a k-mer is one k-mer of all its words; one without any
     has a sketch of zeros.
     """
     word, sizes = normal_words(texts)
@@ -75,6 +85,23 @@ def sketches(texts: list[str], count: int = SKETCHES) -> tuple[np.ndarray, np.nd
     return out.view(np.int64), sizes
 
 
+def short_keys(own: np.ndarray) -> list[int]:
+    """Keys of a text of up to ``SHORT`` words: hashes of what is left without each choice of
+    up to a fifth of them. Two such texts with a similarity of ``THRESHOLD`` share one."""
+    n, out = len(own), set()
+    if 0 < n <= SHORT:
+        for gone in range(int(n * (1 - THRESHOLD) + 1e-9) + 1):
+            for at in combinations(range(n), gone):
+                left = np.delete(own, at)
+                out.add(int(words.mix(words.windows(left, len(left)) ^ np.uint64(0x5851F42D4C957F2D + len(left))).view(np.int64)[0]))
+    return sorted(out)
+
+
+def word_counts(own: np.ndarray) -> bytes:
+    """How many words of a text are in each of ``CELLS`` cells of their hashes, 255 at most."""
+    return np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
     """Edit distance of two sequences if at most ``most``, else most + 1.
 
@@ -135,15 +162,56 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             texts = ["" if t is None else t for t in part.column("text").to_pylist()]
-            found, sizes = [], []
+            found, sizes, short, cells = [], [], [], []
             raw = [t.encode("utf-8", "replace") for t in texts]
             for lo, hi in words.chunks(raw):
                 s, n = sketches(texts[lo:hi])
                 found.append(s)
                 sizes.append(n)
+                word, at = normal_words(texts[lo:hi])[0], 0
+                for size in n:
+                    own = word[at : at + size]
+                    short.append(short_keys(own))
+                    cells.append(word_counts(own))
+                    at += size
             flat = np.concatenate(found).ravel()
             column = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCHES, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(np.concatenate(sizes).astype(np.int64)), column], ["doc_id", "digest", "n_words", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(np.concatenate(sizes).astype(np.int64)), column, pa.array(short, pa.list_(pa.int64())), pa.array(cells, pa.binary())], ["doc_id", "digest", "n_words", "sketch", "short", "cells"])
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every pair (a < b) of a bucket that differs in root and whose numbers of words allow the
+    threshold, with what it counts for: SHARED where one shared number is enough."""
+    for batch in batches:
+        flat = batch.column("nodes").flatten()
+        node, root, n, sure = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "n_words", "sure"))
+        bucket = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("nodes").offsets.to_numpy()))
+        order = np.lexsort((node, n, bucket))
+        node, root, n, sure, bucket = node[order], root[order], n[order], sure[order], bucket[order]
+        at, off, held, size = np.arange(len(node)), 0, [], 0
+        while len(at):
+            off += 1
+            at = at[at + off < len(node)]
+            # Members are in order of their words: if one is too long, so are all behind it.
+            at = at[(bucket[at] == bucket[at + off]) & (n[at] >= n[at + off] * THRESHOLD - 1e-9)]
+            two = at[root[at] != root[at + off]]
+            held.append((two, two + off))
+            size += len(two)
+            if size and (size > 500_000 or not len(at)):
+                x, y = (np.concatenate(part) for part in zip(*held, strict=True))
+                weight = np.where(sure[x] | (n[y] < FEW), SHARED, 1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(weight)], ["a", "b", "weight"])
+                held, size = [], 0
+
+
+def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose word counts allow the threshold: each changed word moves one from a cell to another."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("cells_a", "cells_b"))
+        more, less = np.maximum(x - y, 0).sum(axis=1), np.maximum(y - x, 0).sum(axis=1)
+        most = np.maximum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) * (1 - THRESHOLD) + 1e-9
+        keep = np.maximum(more, less) <= most
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +227,14 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "same"])
 
 
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) without those whose word counts rule the threshold out."""
+    left = nodes.select(F.col("node").alias("a"), F.col("cells").alias("cells_a"), F.col("n_words").alias("n_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("cells").alias("cells_b"), F.col("n_words").alias("n_b"))
+    both = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
+    return settled(both.mapInArrow(_alike_batches, "a long, b long"), "near-alike")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, same) of pairs of node numbers."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -222,11 +298,12 @@ def classes(docs: DataFrame, more_rounds: int = 0) -> DataFrame:
     plans and shuffles are alike at every size and hot buckets can be split.
 
     Equal texts are one node from the start, so copies are never paired. A bucket of
-    nodes with an equal sketch number links each node to the bucket's first node,
-    never all pairs, and of a node's pairs only those are aligned that connect what isn't
-    connected yet. Nodes that are not connected to their bucket's first (texts that share
-    a passage but no more) are then bucketed by two neighbouring sketch numbers at once;
-    with ``more_rounds`` they get so many rounds with a first node of their own before. Links join into classes; class_id is the least doc_id of a class.
+    nodes with an equal sketch number or short key first links each node to the bucket's
+    first node, and of a node's pairs only those are aligned that connect what isn't
+    connected yet; with ``more_rounds`` nodes that are not connected to their bucket's first
+    get so many rounds with a first node of their own. Then every pair of a bucket that is
+    still in different classes is a candidate, members of any class included, so none is
+    left unresolved. Links join into classes; class_id is the least doc_id of a class.
 
     ``keep`` is true for the row whose doc_id is the class_id (of rows with the same
     doc_id and text, all). A null text counts as an empty one; texts without any word
@@ -234,31 +311,31 @@ def classes(docs: DataFrame, more_rounds: int = 0) -> DataFrame:
     it is no class_id unless all of a class are null. Other columns are not read; an
     empty table gives no rows.
     """
-    schema = "doc_id long, digest string, n_words long, sketch array<long>"
+    schema = "doc_id long, digest string, n_words long, sketch array<long>, short array<long>, cells binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
     sketched = settled(rows.mapInArrow(_sketch_batches, schema), "near-sketches")
-    nodes = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
+    nodes = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_words", "sketch", "short", "cells")))
     nodes = settled(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(THRESHOLD) - F.lit(1e-9)
-    members = nodes.filter("n_words > 0").select("node", "n_words", F.posexplode("sketch").alias("band", "value"), F.col("sketch"))
-    members = members.withColumn("value2", F.element_at("sketch", (F.col("band") + 1) % SKETCHES + 1)).drop("sketch")
-    sized = members.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    members = settled(members.join(settled(sized, "near-buckets").drop("n").hint("merge"), ["band", "value"]), "near-members")
+    # A sketch number holds its place among the sketches, so the number alone is a bucket.
+    keyed = nodes.filter("n_words > 0").select("node", "n_words", F.explode(F.concat(F.transform("sketch", lambda x: F.struct(x.alias("value"), F.lit(False).alias("sure"))), F.transform("short", lambda x: F.struct(x.alias("value"), F.lit(True).alias("sure"))))).alias("x"))
+    keyed = keyed.select("node", "n_words", "x.value", "x.sure")
+    sized = keyed.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+    members = settled(keyed.join(settled(sized, "near-buckets").drop("n").hint("merge"), "value"), "near-members")
 
-    def first_of(left: DataFrame, *keys: str) -> DataFrame:
+    def first_of(left: DataFrame) -> DataFrame:
         """Pairs of each bucket's first node with the others."""
-        firsts = settled(left.groupBy(*keys).agg(F.min_by(F.struct("node", "n_words"), "node").alias("f")).select(*keys, F.col("f.node").alias("a"), F.col("f.n_words").alias("n_a")), "near-firsts")
-        return left.withColumnsRenamed({"node": "b", "n_words": "n_b"}).join(firsts.hint("merge"), list(keys)).filter("a <> b")
+        firsts = settled(left.groupBy("value").agg(F.min_by(F.struct("node", "n_words"), "node").alias("f")).select("value", F.col("f.node").alias("a"), F.col("f.n_words").alias("n_a")), "near-firsts")
+        return left.withColumnsRenamed({"node": "b", "n_words": "n_b"}).join(firsts.hint("merge"), "value").filter("a <> b")
 
     wanted = settled(members.select("node").distinct().join(nodes.select("node", "digest", "doc_id").hint("merge"), "node"), "near-wanted")
     found = rows.join(wanted.withColumnRenamed("doc_id", "of").hint("merge"), "digest").filter(F.col("doc_id").eqNullSafe(F.col("of")))
     texts = settled(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-    left, roots = members, None
-    for turn in range(more_rounds + 2):
-        last = turn > more_rounds
-        linked = settled(first_of(left, "band", "value", *(["value2"] if last else [])), "near-linked")
-        pairs = settled(linked.filter(near).select("a", "b").distinct(), "near-pairs")
+    left, roots, unsettled = members, None, None
+    for _ in range(more_rounds + 1):
+        linked = settled(first_of(left), "near-linked")
+        pairs = _alike(linked.filter(near).select("a", "b").distinct(), nodes)
         # One pair a node first; of its others only those that these don't connect already.
         tried = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
         same = tried.filter("same").select("a", "b")
@@ -266,12 +343,18 @@ def classes(docs: DataFrame, more_rounds: int = 0) -> DataFrame:
         others = settled(_apart(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), roots), "near-others")
         if not others.isEmpty():
             roots = merged(roots, _verified(others, texts).filter("same").select("a", "b"))
-        if last:
-            break
         # Whom its bucket's first node isn't connected to has another turn.
-        left = settled(_apart(linked, roots).select("band", "value", "value2", F.col("b").alias("node"), F.col("n_b").alias("n_words")), "near-left")
+        left = settled(_apart(linked, roots).select("value", "sure", F.col("b").alias("node"), F.col("n_b").alias("n_words")), "near-left")
+        unsettled = left if unsettled is None else unsettled
         if left.isEmpty():
             break
+    # All that first nodes left: every pair of a bucket that is still apart.
+    open_ = members.join(unsettled.select("value").distinct().hint("merge"), "value", "left_semi").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    buckets = open_.groupBy("value").agg(F.collect_list(F.struct("node", "root", "n_words", "sure")).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    shared = buckets.select("nodes").mapInArrow(_pair_batches, "a long, b long, weight long").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    rest = _alike(settled(shared.filter(F.col("weight") >= SHARED).select("a", "b"), "near-rest"), nodes)
+    if not rest.isEmpty():
+        roots = merged(roots, _verified(rest, texts).filter("same").select("a", "b"))
     owners = nodes.select("node", "digest", "doc_id")
     owners = owners.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     owners = settled(owners, "near-owners")

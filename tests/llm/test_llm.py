@@ -251,6 +251,43 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.classes(empty).count() == 0 and neardup.one_of_each(empty).count() == 0
 
 
+def changed(own, at, tag):
+    return [f"{tag}{i}" if i in at else w for i, w in enumerate(own)]
+
+
+def test_near_duplicate_stars_and_chains(spark):
+    """Links that hold only by way of a node that isn't a bucket's first."""
+    base = [f"s{rng.randrange(5000)}" for _ in range(300)]
+    star = [base, *(changed(base, set(rng.sample(range(300), 39)), f"x{k}y") for k in range(40))]
+    assert not any(neardup.similar(a, b) for k, a in enumerate(star[1:]) for b in star[k + 2 :])
+    link = [f"c{rng.randrange(5000)}" for _ in range(300)]
+    chain = [link]
+    for k in range(5):
+        chain.append(changed(chain[-1], set(range(50 * k, 50 * k + 50)), f"l{k}z"))
+    assert not neardup.similar(chain[0], chain[2]) and neardup.similar(chain[0], chain[1])
+    short = "one two three four five six seven eight nine".split()
+    rows = [(rng.random(), 1, t) for t in star] + [(rng.random(), 2, t) for t in chain] + [(0.5, 3, short), (0.6, 3, changed(short, {4}, "v"))]
+    rows = [(i, group, " ".join(t)) for i, (_, group, t) in enumerate(sorted(rows))]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, g int, text string").repartition(3)).collect()}
+    least = {g: min(i for i, h, _ in rows if h == g) for _, g, _ in rows}
+    assert got == {i: least[g] for i, g, _ in rows}
+
+
+@pytest.mark.parametrize("n", [9, 12, 14, 15, 20, 30, 100, 300])
+def test_near_duplicate_recall(n):
+    """Pairs at 0.8 (or the next above) are candidates with 0.99, changes at random or even places."""
+    d, found, tries = n // 5, 0, 600
+    for k in range(tries):
+        own = [f"r{k}a{i}" for i in range(n)]
+        other = changed(own, set(range(2, n, 5)) if k % 2 and len(range(2, n, 5)) <= d else set(rng.sample(range(n), d)), "q")
+        two = [" ".join(own), " ".join(other)]
+        (a, b), (word, sizes) = neardup.sketches(two)[0], neardup.normal_words(two)
+        keys = [set(neardup.short_keys(w)) for w in (word[: sizes[0]], word[sizes[0] :])]
+        found += bool(keys[0] & keys[1]) or (a == b).sum() >= (1 if n < neardup.FEW else neardup.SHARED)
+    # Three standard deviations of so many tries.
+    assert found >= 0.99 * tries - 3 * math.sqrt(0.0099 * tries)
+
+
 def test_lm_scores(spark, docs, empty):
     rows = [(r[0], r[1]) for r in CORPUS]
     counts, contexts = [Counter() for _ in range(6)], [Counter() for _ in range(6)]
