@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,30 @@ def test_latent_space_finds_items(spark):
     assert found >= 0.9 * len(texts)
 
 
+def test_latent_space_holds_items(spark):
+    """Short and reworded items among documents that rule the spectrum: no cosine below the exact one."""
+    items = [(i, sentence(9 if i % 2 else 40, 2500, "q")) for i in range(60)]
+    texts = [" ".join(rng.choice(["w", "q"]) + str(rng.randrange(2500)) for _ in range(150)) for _ in range(200)]
+    latent = decontam.fit(spark.createDataFrame([(t,) for t in texts], "text string"), items)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    counted = next(decontam._document_counts(latent.vocabulary)(iter([batch])))
+    counts = dict(zip(counted.column("word").to_pylist(), counted.column("passages").to_pylist(), strict=True))
+    idf = np.maximum([math.log((counts[-1] + 2) / (counts.get(k, 0) + 1)) for k in range(len(latent.vocabulary))], 0.1)
+    for _, own in latent.items:
+        number = decontam.lookup(latent.vocabulary, np.array(own, np.uint64))[1]
+        weight = np.bincount(number, minlength=len(idf)) * idf
+        assert np.linalg.norm((weight / idf) @ latent.projection) == pytest.approx(np.linalg.norm(weight), rel=1e-3)
+    exact = found = 0
+    for i, q in items:
+        own = [w if rng.random() > 0.2 else "else" for w in q.split()] if i % 4 > 1 else q.split()
+        text = sentence(64) + " " + " ".join(own) + " " + sentence(64)
+        n, here = len(q.split()), decontam.search(latent, [text])[0]
+        common = len([w for w, x in zip(q.split(), own, strict=True) if w == x])
+        if common >= decontam.COPIED * n:
+            exact, found = exact + 1, found + (i in {h[0] for h in here})
+    assert exact >= 30 and found >= 0.9 * exact
+
+
 def seats_one_by_one(votes, seats, caps):
     given = [0] * len(votes)
     for _ in range(seats):
