@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of
-    the session. Only where it is unset (tests, one machine) a temporary one."""
+    the session. Only where it is unset and all run in one process (tests, one machine) a
+    temporary one; on a cluster that would be another folder on each machine: RuntimeError."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if named:
         return f"{named.rstrip('/')}/quillstone-{app}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="quillstone-")
     return f"file://{_own_folder[app]}"
@@ -49,6 +54,17 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before them that no column of ``taken`` is called so in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
