@@ -13,6 +13,7 @@ import heapq
 import math
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +26,18 @@ WEIGHTS = (3, 1, 2)
 def water_fill(sizes: list[int], weights: list[float], total: float, cap: float = 2.0) -> list[float]:
     """Targets that share ``total`` by weight, none above ``cap`` times its size:
     what is over the cap is shared again among the others by weight."""
-    targets, free = [0.0] * len(sizes), list(range(len(sizes)))
-    while free:
-        left = total - sum(t for i, t in enumerate(targets) if i not in set(free))
-        share = left / sum(weights[i] for i in free)
-        over = [i for i in free if share * weights[i] > cap * sizes[i]]
-        if not over:
-            for i in free:
-                targets[i] = share * weights[i]
+    targets = [0.0] * len(sizes)
+    # Sources reach their cap in the order of size to weight, so one sorted pass settles them.
+    order = sorted(range(len(sizes)), key=lambda i: (cap * sizes[i] / weights[i], i))
+    left, weight = float(total), float(sum(weights))
+    for at, i in enumerate(order):
+        if left * weights[i] <= cap * sizes[i] * weight:
+            share = left / weight
+            for k in order[at:]:
+                targets[k] = min(share * weights[k], cap * float(sizes[k]))
             break
-        for i in over:
-            targets[i] = cap * float(sizes[i])
-        free = [i for i in free if i not in set(over)]
+        targets[i] = cap * float(sizes[i])
+        left, weight = left - targets[i], weight - weights[i]
     return targets
 
 
@@ -44,18 +45,20 @@ def apportion(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     """Sainte-Laguë quotas: seats go one by one to the highest votes / (2 q + 1),
     ties to the first, none beyond its cap. A divisor found by bisection hands
     out all but a few at once, so the cost doesn't depend on the seats."""
-    seats = min(seats, sum(c for v, c in zip(votes, caps, strict=True) if v > 0))
+    limit, weight = np.array(caps, np.int64), np.array(votes, np.float64)
+    seats = min(seats, int(limit[weight > 0].sum()))
 
-    def given(rate: float) -> list[int]:
-        return [min(c, math.floor(v * rate + 0.5)) for v, c in zip(votes, caps, strict=True)]
+    def given(rate: float) -> np.ndarray:
+        return np.minimum(limit, np.floor(weight * rate + 0.5)).astype(np.int64)
 
     low, high = 0.0, 1.0
-    while sum(given(high)) < seats:
+    while given(high).sum() < seats:
         high *= 2
     for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if sum(given(mid)) <= seats else (low, mid)
-    quotas = given(low)
+        low, high = (mid, high) if given(mid).sum() <= seats else (low, mid)
+    # A little under the divisor, so that rounding gives nobody a seat that a tie has to decide.
+    quotas = given(low * (1 - 1e-9)).tolist()
     heap = [(-v / (2 * q + 1), i) for i, (v, q, c) in enumerate(zip(votes, quotas, caps, strict=True)) if q < c and v > 0]
     heapq.heapify(heap)
     for _ in range(seats - sum(quotas)):
