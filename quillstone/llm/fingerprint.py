@@ -6,10 +6,10 @@ doesn't depend on the order of paragraphs, and inserting or deleting a paragraph
 is adding or subtracting its vector.
 
 Lanes: four of 60 bits from SHA-256 of the paragraph (equality), the number of
-its sentences modulo 2**30, and 120 small ones modulo 2**14 that count, over its
-sentences, the one-bits of two 60-bit hashes, packed four to a number with 15
-bits each. The small lanes, taken as +1 and -1 for each sentence, make the cosine
-of two fingerprints an estimate of the cosine of their sentence multisets.
+its sentences modulo 2**30, and 120 smaller ones modulo 2**30 that count, over its
+sentences, the one-bits of two 60-bit hashes, two to a number. The smaller lanes,
+taken as +1 and -1 for each sentence, make the cosine of two fingerprints an estimate
+of the cosine of their sentence multisets, up to 2**30 sentences.
 """
 
 from __future__ import annotations
@@ -17,13 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 EXACT, COUNT_BITS, HASHES, SHIFTS = 4, 30, 2, 15
-#: Bits 0, 15, 30 and 45: one bit for each of the four lanes of a packed number.
+#: Bits 0, 15, 30 and 45: one bit for each of four narrow lanes of a number. Sentences are
+#: counted in narrow lanes, as many at once as these hold, and then added to the wide ones.
 ONES = sum(1 << (15 * i) for i in range(4))
-#: The lowest 14 bits of each of the four lanes.
-LANES = ONES * (2**14 - 1)
-#: The carry bit of each of the four lanes.
-CARRY = ONES << 14
+AT_ONCE = 2**14 - 1
+#: The two wide lanes of a number, at bits 0 and 31, and their carry bits.
+WIDE = (2**30 - 1) * (1 + 2**31)
+CARRY = 2**30 * (1 + 2**31)
+NUMBERS = 2 * HASHES * SHIFTS
 
 
 def paragraphs(text: Column) -> Column:
@@ -39,57 +43,72 @@ def sentences(paragraph: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with the fingerprint of column ``text`` as array<bigint> column ``name``: 4
-    equality lanes, the count, 30 packed numbers. Null and empty texts have the zero vector.
+    equality lanes, the count, 60 packed numbers. Null and empty texts have the zero vector.
 
     Lines, digests, sentences and hashes are columns of their own steps, so none is computed twice.
     """
-    step = df.withColumn("_lines", paragraphs(F.col(text)))
-    step = step.withColumns({"_digests": F.transform("_lines", lambda x: F.sha2(x, 256)), "_pieces": F.flatten(F.transform("_lines", sentences))}).drop("_lines")
+    lines, digests, pieces, *hashes = fresh([*df.columns, name], "lines", "digests", "pieces", *(f"hash{h}" for h in range(HASHES)))
+    step = df.withColumn(lines, paragraphs(F.col(text)))
+    step = step.withColumns({digests: F.transform(lines, lambda x: F.sha2(x, 256)), pieces: F.flatten(F.transform(lines, sentences))}).drop(lines)
 
     def hashed(h: int) -> Column:
-        return F.transform("_pieces", lambda x: F.xxhash64(x, F.lit(h)))
+        return F.transform(pieces, lambda x: F.xxhash64(x, F.lit(h)))
 
-    step = step.withColumns({f"_hash{h}": hashed(h) for h in range(HASHES)}).drop("_pieces")
+    step = step.withColumns({column: hashed(h) for h, column in enumerate(hashes)}).drop(pieces)
 
     def exact(i: int) -> Column:
-        return F.aggregate("_digests", F.lit(0).cast("long"), lambda acc, d: (acc + F.conv(F.substring(d, 1 + 15 * i, 15), 16, 10).cast("long")).bitwiseAND(F.lit(2**60 - 1)))
+        return F.aggregate(digests, F.lit(0).cast("long"), lambda acc, d: (acc + F.conv(F.substring(d, 1 + 15 * i, 15), 16, 10).cast("long")).bitwiseAND(F.lit(2**60 - 1)))
 
-    def packed(h: int) -> Column:
-        # One step a sentence: each packed number gets one bit for each lane, then drops the carries.
+    def narrow(some: Column) -> Column:
+        # One step a sentence: each packed number gets one bit for each of its four lanes.
         zero = F.array(*[F.lit(0).cast("long")] * SHIFTS)
-        return F.aggregate(f"_hash{h}", zero, lambda acc, x: F.array(*((acc[k] + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(ONES))).bitwiseAND(F.lit(LANES)) for k in range(SHIFTS))))
+        return F.aggregate(some, zero, lambda acc, x: F.array(*(acc[k] + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(ONES)) for k in range(SHIFTS))))
+
+    def lane(x: Column, i: int) -> Column:
+        return F.shiftrightunsigned(x, 15 * i).bitwiseAND(F.lit(AT_ONCE))
+
+    def widened(numbers: Column) -> Column:
+        return F.flatten(F.transform(numbers, lambda x: F.array(*(lane(x, i) + F.shiftleft(lane(x, i + 1), 31) for i in (0, 2)))))
 
-    count = F.size("_hash0").cast("long").bitwiseAND(F.lit(2**COUNT_BITS - 1))
-    lanes = F.concat(F.array(*(exact(i) for i in range(EXACT)), count), *(packed(h) for h in range(HASHES)))
-    return step.withColumn(name, lanes).drop("_digests", *(f"_hash{h}" for h in range(HASHES)))
+    def packed(column: str) -> Column:
+        one = widened(narrow(F.col(column)))
+        # Longer texts go part by part; lanes of 30 bits wrap as they are defined to.
+        starts = F.sequence(F.lit(1), F.greatest(F.size(column), F.lit(1)), F.lit(AT_ONCE))
+        zero = F.array_repeat(F.lit(0).cast("long"), 2 * SHIFTS)
+        parts = F.aggregate(starts, zero, lambda acc, i: F.zip_with(acc, widened(narrow(F.slice(column, i, AT_ONCE))), lambda x, y: (x + y).bitwiseAND(F.lit(WIDE))))
+        return F.when(F.size(column) <= AT_ONCE, one).otherwise(parts)
+
+    count = F.size(hashes[0]).cast("long").bitwiseAND(F.lit(2**COUNT_BITS - 1))
+    lanes = F.concat(F.array(*(exact(i) for i in range(EXACT)), count), *(packed(column) for column in hashes))
+    return step.withColumn(name, lanes).drop(digests, *hashes)
 
 
 def _mask(i: Column) -> Column:
-    return F.when(i < EXACT, F.lit(2**60 - 1)).when(i == EXACT, F.lit(2**COUNT_BITS - 1)).otherwise(F.lit(LANES))
+    return F.when(i < EXACT, F.lit(2**60 - 1)).when(i == EXACT, F.lit(2**COUNT_BITS - 1)).otherwise(F.lit(WIDE))
 
 
 def inserted(one: Column, other: Column) -> Column:
     """Fingerprint of a text's paragraphs with those of another: lane-wise sum."""
-    at = F.sequence(F.lit(0), F.lit(EXACT + HASHES * SHIFTS))
+    at = F.sequence(F.lit(0), F.lit(EXACT + NUMBERS))
     return F.transform(at, lambda i: (one[i] + other[i]).bitwiseAND(_mask(i)))
 
 
 def deleted(one: Column, other: Column) -> Column:
     """Fingerprint of what is left of ``one`` without the paragraphs of ``other``."""
-    at = F.sequence(F.lit(0), F.lit(EXACT + HASHES * SHIFTS))
-    return F.transform(at, lambda i: F.when(i <= EXACT, (one[i] - other[i]).bitwiseAND(_mask(i))).otherwise(one[i].bitwiseOR(F.lit(CARRY)) - other[i]).bitwiseAND(_mask(i)))
+    at = F.sequence(F.lit(0), F.lit(EXACT + NUMBERS))
+    return F.transform(at, lambda i: F.when(i <= EXACT, (one[i] - other[i]).bitwiseAND(_mask(i))).otherwise((one[i].bitwiseOR(F.lit(CARRY)) - other[i]).bitwiseAND(_mask(i))))
 
 
 def as_hex(lanes: Column) -> Column:
-    """A fingerprint as a hexadecimal string, 15 digits a number: equal fingerprints, equal strings."""
-    return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 15, "0")), ""))
+    """A fingerprint as a hexadecimal string, 16 digits a number: equal fingerprints, equal strings."""
+    return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def _signed(lanes: Column) -> Column:
-    """120 numbers: for each small lane, +1 and -1 of all sentences summed."""
-    numbers = F.slice(lanes, EXACT + 2, HASHES * SHIFTS)
+    """120 numbers: for each smaller lane, +1 and -1 of all sentences summed."""
+    numbers = F.slice(lanes, EXACT + 2, NUMBERS)
     count = lanes[EXACT]
-    return F.flatten(F.transform(numbers, lambda x: F.array(*((F.lit(2) * F.shiftrightunsigned(x, 15 * i).bitwiseAND(F.lit(2**14 - 1)) - count).cast("double") for i in range(4)))))
+    return F.flatten(F.transform(numbers, lambda x: F.array(*((F.lit(2) * F.shiftrightunsigned(x, 31 * i).bitwiseAND(F.lit(2**30 - 1)) - count).cast("double") for i in range(2)))))
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -105,42 +124,91 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(one == other, 1.0).when(norm == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / norm)))
 
 
+#: Parts into which a cell with too much text is cut, and how many buckets there are at most.
+FAN, MOST_BUCKETS = 256, 100_000
+
+
+def _cut(rows: DataFrame, cells: list[tuple]) -> DataFrame:
+    """``rows`` (cell, k1, k2, ...) with those of ``cells`` (cell, by, low, exact, width, base) moved to
+    the cell ``base`` plus their place in order among equal parts of the range of key ``by``."""
+    wide = rows.sparkSession.createDataFrame(cells, "cut long, by int, low long, exact boolean, width double, base long")
+    key = F.when(F.col("by") == 1, F.col("k1")).otherwise(F.col("k2"))
+    # The difference of two bigints may be none.
+    off = F.when(F.col("exact"), (key - F.col("low")).cast("double")).otherwise(key.cast("double") - F.col("low").cast("double"))
+    part = F.least(F.lit(FAN - 1), F.greatest(F.lit(0), F.floor(off / F.col("width")))).cast("long")
+    moved = rows.join(F.broadcast(wide), F.col("cell") == F.col("cut"), "left")
+    return moved.withColumn("cell", F.when(F.col("cut").isNull(), F.col("cell")).otherwise(F.col("base") + part)).drop("cut", "by", "low", "exact", "width", "base")
+
+
+def cells(keys: DataFrame, buckets: int) -> tuple[list[list[tuple]], list[tuple]]:
+    """Cells of ``keys`` (cell, k1, k2, weight) of about an eighth of a bucket's weight at most: the cuts,
+    level by level, and (cell, weight, first k1, first k2) in order.
+
+    Cell 0 holds the rows with an id, cell 1 those without. A cell with too much is cut into FAN
+    equal ranges of k1 while these differ, else of k2; only such cells are counted again, so no more
+    than FAN numbers a heavy cell reach the driver. Rows with equal k1 and k2 can't be told apart.
+    """
+    cuts: list[list[tuple]] = []
+    whole, order, next_name, found = None, [0, 1], 2, {}
+    while True:
+        some = keys if not cuts else keys.filter(F.col("cell") >= first_name)
+        stats = some.groupBy("cell").agg(F.sum("weight").alias("weight"), F.min(F.struct("k1", "k2")).alias("first"), *(f(k).alias(f"{n}_{k}") for k in ("k1", "k2") for n, f in (("low", F.min), ("high", F.max))))
+        fresh_cells = {r.cell: r for r in stats.collect()}
+        found |= fresh_cells
+        whole = whole or max(1, sum(r.weight for r in fresh_cells.values()))
+        level, first_name = [], next_name
+        for name, r in sorted(fresh_cells.items()):
+            by, low, high = (1, r.low_k1, r.high_k1) if r.low_k1 < r.high_k1 else (2, r.low_k2, r.high_k2)
+            if r.weight > whole / (8 * buckets) and low < high:
+                level.append((name, by, low, high - low < 2**62, (high - low + 1) / FAN, next_name))
+                at = order.index(name)
+                order[at : at + 1] = range(next_name, next_name + FAN)
+                next_name += FAN
+                del found[name]
+        if not level:
+            return cuts, [(c, found[c].weight, found[c]["first"].k1, found[c]["first"].k2) for c in order if c in found]
+        cuts.append(level)
+        keys = _cut(keys, level)
+
+
 def with_next(docs: DataFrame, buckets: int, *carried: str) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, ...) with next_<c> for each c of ``carried``: the
-    value in the next row by descending doc_id (nulls last; equal ids by text), after
-    the last the first.
+    value in the next row by descending doc_id (nulls last; equal ids by a hash of the text, then
+    by the text), after the last the first.
 
-    One shuffle: rows are dealt into about ``buckets`` buckets of neighbouring doc_id with
-    about as many rows each. Bounds come from counts in eight times as many equal
-    ranges of doc_id, which are all that reaches the driver and is broadcast. The first rows
-    of a bucket also go to the bucket before it, where they only serve as next of its last row.
+    One shuffle of texts: rows are dealt into about ``buckets`` buckets that are neighbours in this
+    order and hold about as much text each. Bounds come from ``cells``, which read only ids and sizes and
+    refine where much text is, so neither an outlier nor many equal or null ids fill a bucket. The first
+    rows of a bucket also go to the bucket before it, where they only serve as next of its last row.
     """
     spark, number = docs.sparkSession, F.col("doc_id").cast("long")
-    ends = docs.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()
-    low = ends.low if ends.low is not None else 0
-    width = max(1.0, ((ends.high or 0) - low + 1) / (8.0 * buckets))
-    # Cells ascend as doc_id descends; null ids are the last.
-    cell = F.coalesce(-F.floor((number.cast("double") - F.lit(float(low))) / F.lit(width)).cast("long"), F.lit(1)).cast("long")
-    counted = sorted((r.cell, r.most, r["rows"]) for r in docs.groupBy(cell.alias("cell")).agg(F.max(number).alias("most"), F.count("*").alias("rows")).collect())
-    each = sum(n for _, _, n in counted) / buckets
-    plan, filled, bucket, starts = [], 0, -1, []
-    for name, most, n in counted:
-        if bucket < 0 or filled + n / 2 > each:
-            bucket, filled = bucket + 1, 0
-            starts.append((name, most))
-        plan.append([name, bucket, None, None])
-        filled += n
-    last, first_id = bucket, dict(starts)
-    for row in plan:
-        if row[0] in first_id:
-            row[2], row[3] = first_id[row[0]], row[1] - 1 if row[1] else last
-    where = spark.createDataFrame([tuple(r) for r in plan], "cell long, bucket long, most long, before long")
-    dealt = docs.withColumn("cell", cell).join(F.broadcast(where), "cell")
-    spare = F.when(F.col("before").isNotNull() & number.eqNullSafe(F.col("most")), F.struct(F.col("before").alias("at"), F.lit(True).alias("spare")))
+    buckets = max(1, min(buckets, MOST_BUCKETS))
+    own = [c for c in docs.columns if c.lower() not in ("cell", "k1", "k2", "weight", "at", "spare", "bucket", "before")]
+    docs = docs.select(own)
+    # ~id ascends as the id descends.
+    keyed = docs.withColumns({"cell": F.when(number.isNull(), 1).otherwise(0).cast("long"), "k1": F.coalesce(F.bitwise_not(number), F.lit(0)), "k2": F.xxhash64("text")})
+    cuts, counted = cells(keyed.select("cell", "k1", "k2", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("weight")), buckets)
+    for level in cuts:
+        keyed = _cut(keyed, level)
+    each = sum(c[1] for c in counted) / buckets
+    plan, filled, bucket, starts = [], 0.0, -1, []
+    for name, weight, k1, k2 in counted:
+        if bucket < 0 or filled + weight / 2 > each:
+            bucket, filled = bucket + 1, 0.0
+            starts.append((k1, k2))
+            plan.append((name, bucket, bucket - 1, k1, k2))
+        else:
+            plan.append((name, bucket, None, None, None))
+        filled += weight
+    plan = [(c, b, bucket if before == -1 else before, k1, k2) for c, b, before, k1, k2 in plan]
+    where = spark.createDataFrame(plan, "at_cell long, bucket long, before long, least1 long, least2 long")
+    dealt = keyed.join(F.broadcast(where), F.col("cell") == F.col("at_cell"))
+    first = F.col("before").isNotNull() & (F.col("k1") == F.col("least1")) & (F.col("k2") == F.col("least2"))
+    spare = F.when(first, F.struct(F.col("before").alias("at"), F.lit(True).alias("spare")))
     both = dealt.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("spare")), spare))))
-    both = both.select(*docs.columns, "to.at", "to.spare")
-    order = Window.partitionBy("at").orderBy("spare", F.desc_nulls_last("doc_id"), *[F.col(c) for c in ("text",) if c in docs.columns])
-    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).filter(~F.col("spare")).drop("at", "spare")
+    both = both.select(*own, "k2", "to.at", "to.spare")
+    order = Window.partitionBy("at").orderBy("spare", F.desc_nulls_last("doc_id"), "k2", "text")
+    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).filter(~F.col("spare")).drop("at", "spare", "k2")
 
 
 def with_edits(docs: DataFrame, buckets: int) -> DataFrame:
