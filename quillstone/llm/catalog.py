@@ -11,6 +11,10 @@ from . import decontam, fingerprint, langid, licenses, linededup, mixing, neardu
 from .common import blocks_for, shuffle_partitions, table
 
 
+#: Characters from which a single repeated line counts as a passage.
+LINE_ALONE = 20
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of the labelled ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -65,18 +69,19 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without later copies of repeated runs of lines."""
-    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document without later copies of repeated runs of lines: two lines, or one of 20 characters."""
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), alone=LINE_ALONE)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-#: Runs of two lines decide: a longer run that begins earlier too is made of such.
+#: Runs of two lines and single long ones decide: a longer run that begins earlier too is made of such.
 OP10_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents),
 s AS (SELECT doc_id, idx, line, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS seq FROM l WHERE trim(line) <> ''),
 w AS (SELECT doc_id, seq, line, lead(line) OVER (PARTITION BY doc_id ORDER BY seq) AS next_line FROM s),
 f AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, seq) AS nth FROM w WHERE next_line IS NOT NULL),
-d AS (SELECT doc_id, seq FROM f WHERE nth > 1 UNION SELECT doc_id, seq + 1 FROM f WHERE nth > 1),
+o AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY line ORDER BY doc_id, seq) AS nth FROM s WHERE length(line) >= 20),
+d AS (SELECT doc_id, seq FROM f WHERE nth > 1 UNION SELECT doc_id, seq + 1 FROM f WHERE nth > 1 UNION SELECT doc_id, seq FROM o WHERE nth > 1),
 g AS (SELECT s.doc_id, s.idx FROM s JOIN d USING (doc_id, seq)),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.idx) AS n_removed,
              coalesce(string_agg(l.line, chr(10) ORDER BY l.idx) FILTER (WHERE g.idx IS NULL), '') AS kept
