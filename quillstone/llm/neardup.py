@@ -1,16 +1,18 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-A sketch of a text takes the ``TUPLE`` three-word k-mers with the least hashes
-(k-mers labelled with the number of their occurrence) and hashes them in text
-order. Texts with ``SHARED`` equal sketch numbers (texts of under ``FEW`` words with
-one) are candidates; those of up to ``SHORT`` words also meet in a key of the words
-that are left when as many are deleted as may differ, which loses none. Word-level
+A sketch of a text takes the ``TUPLE`` k-mers of words with the least hashes (k-mers
+labelled with the number of their occurrence) and hashes them in text order. Texts with
+an equal sketch number are candidates; texts of up to ``SHORT`` words also meet in a key of
+the words that are left when as many are deleted as may differ, which loses none. Word-level
 edit similarity of candidates is computed by a bit-parallel alignment in a band as
 wide as the threshold allows.
 
-A pair at 0.8 whose every fifth word differs, the worst case, keeps 0.4 of its
-three-word k-mers and is a candidate with a probability of 0.99 at every length;
-with random places of the changes it is above 0.999 for long texts.
+Texts of ``LEAST`` words and more have ``SKETCHES`` numbers of three-word k-mers, those of under
+``FEW`` words have ``FEW_SKETCHES`` of two-word k-mers, so two texts that may be similar always
+have numbers of one kind. A pair at 0.8 whose every fifth word differs, the worst case,
+keeps 0.4 of its three-word k-mers, a Jaccard index of 0.25: both k-mers of a sketch are
+equal with about 0.06, one of all sketches with 0.99. With changes at random places it is
+above 0.999.
 """
 
 from __future__ import annotations
@@ -20,16 +22,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import settled
+from .common import fresh, settled
 
-K, TUPLE, SKETCHES, THRESHOLD = 3, 1, 28, 0.8
-SHARED, FEW, SHORT = 2, 30, 14
-#: Cells of the word counts that tell texts apart before they are aligned.
-CELLS = 256
+TUPLE, THRESHOLD = 2, 0.8
+K, SKETCHES, LEAST = 3, 88, 60
+FEW_K, FEW_SKETCHES, FEW = 2, 40, 75
+SHARED, SHORT = 1, 14
+#: Cells of the word counts that tell texts apart before they are aligned, and as few for a first look.
+CELLS, COARSE = 256, 16
+#: Nodes of a bucket that are compared with each other in one task.
+BLOCK = 1024
 
 
 def normal_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -37,52 +43,66 @@ def normal_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes([t.lower().encode("utf-8", "replace") for t in texts], words.NOT_ALPHANUMERIC)
 
 
-def sketches(texts: list[str], count: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Order MinHash numbers (texts x count, int64) and the numbers of words.
-
-    A text of fewer words than a k-mer is one k-mer of all its words; one without any
-    has a sketch of zeros.
-    """
-    word, sizes = normal_words(texts)
-    out = np.zeros((len(texts), count), np.uint64)
-    pieces, owners, at = [], [], 0
-    for i, n in enumerate(sizes):
-        own = word[at : at + n]
-        at += n
-        if n:
-            pieces.append(words.windows(own, min(K, n)))
-            owners.append(i)
-    if not pieces:
-        return out.view(np.int64), sizes
+def _order_minhash(word: np.ndarray, begins: np.ndarray, sizes: np.ndarray, k: int, count: int, kind: int) -> np.ndarray:
+    """Order MinHash numbers (texts x count) of texts with some words: ``sizes`` from ``begins`` in ``word``."""
+    pieces = [words.windows(word[at : at + n], min(k, n)) for at, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
     lengths = np.array([len(p) for p in pieces])
-    kmer, starts = np.concatenate(pieces), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    text_of = np.repeat(np.arange(len(pieces)), lengths)
+    kmer, starts = np.concatenate(pieces), np.cumsum(lengths) - lengths
     # Occurrence labels: the how-manieth time a k-mer comes up in its text.
-    keyed = kmer ^ words.mix(text_of.astype(np.uint64) + np.uint64(1))
+    keyed = kmer ^ words.mix(np.repeat(np.arange(len(pieces)), lengths).astype(np.uint64) + np.uint64(1))
     order = np.argsort(keyed, kind="stable")
     new = np.concatenate([[True], keyed[order][1:] != keyed[order][:-1]])
-    run = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     label = np.zeros(len(kmer), np.uint64)
-    label[order] = run
+    label[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     labelled = words.mix(kmer + label * np.uint64(0x9FB21C651E98DF25))
-    index = np.arange(len(kmer))
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    # The lowest bits of a value are its place, so a minimum tells where it is.
+    low = np.uint64((1 << max(1, len(kmer).bit_length())) - 1)
+    place, value, top = np.arange(len(kmer), dtype=np.uint64), np.empty(len(kmer), np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = np.zeros((len(pieces), count), np.uint64)
+    factors = words.mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(kind)) | np.uint64(1)
     for s in range(count):
-        value = words.mix(labelled ^ np.uint64((s + 1) * 0xA0761D6478BD642F % 2**64))
+        np.multiply(labelled, factors[s], out=value)
+        np.bitwise_and(value, ~low, out=value)
+        np.bitwise_or(value, place, out=value)
         chosen = []
-        for _ in range(TUPLE):
+        for turn in range(TUPLE):
             least = np.minimum.reduceat(value, starts)
-            at_least = np.flatnonzero(value == least[text_of])
-            first = at_least[np.unique(text_of[at_least], return_index=True)[1]]
-            chosen.append(first)
-            value[first] = top
-        places = np.sort(np.stack(chosen), axis=0)
-        mixed = np.full(len(pieces), s + 1, np.uint64)
-        for row in places:
+            at = (least & low).astype(np.int64)
+            chosen.append(np.where(lengths > turn, at, chosen[0] if chosen else at))
+            value[chosen[-1]] = top
+        mixed = np.full(len(pieces), words.mix(factors[s : s + 1])[0], np.uint64)
+        for row in np.sort(np.stack(chosen), axis=0):
             mixed = words.mix(mixed * np.uint64(0x9E3779B97F4A7C15) + labelled[row])
-        out[owners, s] = mixed
-    del index
-    return out.view(np.int64), sizes
+        out[:, s] = mixed
+    return out
+
+
+def _sketched(word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (texts x all sketches, int64) of texts with ``sizes`` of the words ``word``, and which
+    of them a text has."""
+    out = np.zeros((len(sizes), SKETCHES + FEW_SKETCHES), np.uint64)
+    has = np.zeros(out.shape, bool)
+    begins = np.cumsum(sizes) - sizes
+    for some, k, columns, kind in ((sizes >= LEAST, K, slice(0, SKETCHES), 1), ((sizes < FEW) & (sizes > 0), FEW_K, slice(SKETCHES, None), 2)):
+        rows = np.flatnonzero(some)
+        if len(rows):
+            out[rows, columns] = _order_minhash(word, begins[rows], sizes[rows], k, columns.indices(out.shape[1])[1] - columns.start, kind)
+            has[rows, columns] = True
+    # The numbers of the other kind are equal only for texts with the same words.
+    for i in np.flatnonzero(~has.all(axis=1)):
+        own = words.windows(word[begins[i] : begins[i] + sizes[i]], int(sizes[i])) if sizes[i] else np.zeros(1, np.uint64)
+        out[i, ~has[i]] = words.mix(own[0] + np.flatnonzero(~has[i]).astype(np.uint64))
+    return out.view(np.int64), has
+
+
+def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Order MinHash numbers (texts x all sketches, int64) and the numbers of words.
+
+    A text of fewer words than a k-mer is one k-mer of all its words; texts without any
+    are equal.
+    """
+    word, sizes = normal_words(texts)
+    return _sketched(word, sizes)[0], sizes
 
 
 def short_keys(own: np.ndarray) -> list[int]:
@@ -162,56 +182,66 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             texts = ["" if t is None else t for t in part.column("text").to_pylist()]
-            found, sizes, short, cells = [], [], [], []
+            counts, keys, cells = [], [], []
             raw = [t.encode("utf-8", "replace") for t in texts]
             for lo, hi in words.chunks(raw):
-                s, n = sketches(texts[lo:hi])
-                found.append(s)
-                sizes.append(n)
-                word, at = normal_words(texts[lo:hi])[0], 0
-                for size in n:
+                word, sizes = normal_words(texts[lo:hi])
+                found, has = _sketched(word, sizes)
+                counts.append(sizes)
+                at = 0
+                for size, numbers, some in zip(sizes, found, has, strict=True):
                     own = word[at : at + size]
-                    short.append(short_keys(own))
+                    keys.append(np.concatenate([numbers[some], np.array(short_keys(own), np.int64)]))
                     cells.append(word_counts(own))
                     at += size
-            flat = np.concatenate(found).ravel()
-            column = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCHES, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(np.concatenate(sizes).astype(np.int64)), column, pa.array(short, pa.list_(pa.int64())), pa.array(cells, pa.binary())], ["doc_id", "digest", "n_words", "sketch", "short", "cells"])
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(np.concatenate(counts).astype(np.int64)), column, pa.array(cells, pa.binary())], ["doc_id", "digest", "n_words", "keys", "cells"])
+
+
+def _counted(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word counts of texts, in all cells and in a few."""
+    all_ = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, CELLS).astype(np.int16)
+    return all_, all_.reshape(-1, COARSE, CELLS // COARSE).sum(axis=2)
+
 
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At least so many words of each row of ``y`` have to be changed into those of ``x``."""
+    apart = y - x
+    return np.maximum(np.maximum(apart, 0).sum(axis=-1), np.maximum(-apart, 0).sum(axis=-1))
 
-def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every pair (a < b) of a bucket that differs in root and whose numbers of words allow the
-    threshold, with what it counts for: SHARED where one shared number is enough."""
+
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a < b) of different roots between two blocks of a bucket (or within one) whose numbers
+    of words and word counts allow the threshold; only those leave the task."""
     for batch in batches:
-        flat = batch.column("nodes").flatten()
-        node, root, n, sure = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "n_words", "sure"))
-        bucket = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("nodes").offsets.to_numpy()))
-        order = np.lexsort((node, n, bucket))
-        node, root, n, sure, bucket = node[order], root[order], n[order], sure[order], bucket[order]
-        at, off, held, size = np.arange(len(node)), 0, [], 0
-        while len(at):
-            off += 1
-            at = at[at + off < len(node)]
-            # Members are in order of their words: if one is too long, so are all behind it.
-            at = at[(bucket[at] == bucket[at + off]) & (n[at] >= n[at + off] * THRESHOLD - 1e-9)]
-            two = at[root[at] != root[at + off]]
-            held.append((two, two + off))
-            size += len(two)
-            if size and (size > 500_000 or not len(at)):
-                x, y = (np.concatenate(part) for part in zip(*held, strict=True))
-                weight = np.where(sure[x] | (n[y] < FEW), SHARED, 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(weight)], ["a", "b", "weight"])
-                held, size = [], 0
+        for nodes, i, j in zip(batch.column("nodes"), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+            flat = nodes.values
+            node, root, n, block = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "n_words", "block"))
+            order = np.lexsort((node, n))
+            node, root, n, block = node[order], root[order], n[order], block[order]
+            all_, few = _counted(flat.field("cells").take(pa.array(order)).to_pylist())
+            # In order of words: similar texts are up to a quarter longer.
+            ends = np.searchsorted(n, n / THRESHOLD + 1e-9, "right")
+            left, right = [], []
+            for x in range(len(node)):
+                at = np.arange(x + 1, ends[x])
+                at = at[(root[at] != root[x]) & ((i == j) | (block[at] != block[x]))]
+                for counts in (few, all_):
+                    if len(at):
+                        at = at[_differ(counts[x], counts[at]) <= n[at] * (1 - THRESHOLD) + 1e-9]
+                left.append(np.full(len(at), node[x]))
+                right.append(node[at])
+            x, y = np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
 def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose word counts allow the threshold: each changed word moves one from a cell to another."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("cells_a", "cells_b"))
-        more, less = np.maximum(x - y, 0).sum(axis=1), np.maximum(y - x, 0).sum(axis=1)
+        x, y = (_counted(batch.column(c).to_pylist())[0] for c in ("cells_a", "cells_b"))
         most = np.maximum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) * (1 - THRESHOLD) + 1e-9
-        keep = np.maximum(more, less) <= most
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        yield batch.select(["a", "b"]).filter(pa.array(_differ(x, y) <= most))
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,19 +321,40 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return settled(moved.unionByName(tops), "near-roots")
 
 
-def classes(docs: DataFrame, more_rounds: int = 0) -> DataFrame:
+def _joined(pairs: DataFrame, roots: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """``roots`` after the links that ``pairs`` (a, b) make: one pair a node is aligned first, of
+    the others those that don't connect already."""
+    tried = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
+    same = tried.filter("same").select("a", "b")
+    roots = rooted(same) if roots is None else merged(roots, same)
+    others = settled(_apart(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), roots), "near-others")
+    return roots if others.isEmpty() else merged(roots, _verified(others, texts).filter("same").select("a", "b"))
+
+
+def _in_blocks(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes of a bucket with different roots that may be similar, from ``open_`` (value, node,
+    n_words, root): large buckets are cut into blocks, each two of which are one task's work."""
+    sizes = open_.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    sizes = sizes.select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = open_.join(sizes.hint("merge"), "value").join(nodes.select("node", "cells").hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("node", "root", "n_words", "block", "cells").alias("own"))
+    groups = dealt.groupBy("value", "i", "j").agg(F.collect_list("own").alias("nodes"))
+    return settled(groups.select("nodes", "i", "j").mapInArrow(_block_batches, "a long, b long").distinct(), "near-rest")
+
+
+def classes(docs: DataFrame) -> DataFrame:
     """Near-duplicate class of each row of ``docs`` (doc_id, text): doc_id, digest (of the text), class_id, keep.
 
     Joins of tables that grow with the corpus are sort-merge joins at every size, so
     plans and shuffles are alike at every size and hot buckets can be split.
 
-    Equal texts are one node from the start, so copies are never paired. A bucket of
-    nodes with an equal sketch number or short key first links each node to the bucket's
-    first node, and of a node's pairs only those are aligned that connect what isn't
-    connected yet; with ``more_rounds`` nodes that are not connected to their bucket's first
-    get so many rounds with a first node of their own. Then every pair of a bucket that is
-    still in different classes is a candidate, members of any class included, so none is
-    left unresolved. Links join into classes; class_id is the least doc_id of a class.
+    Equal texts are one node from the start, so copies are never paired. Every node of a
+    bucket (nodes with an equal key) is first tried with the bucket's first node, and of a node's
+    pairs only those are aligned that connect what isn't connected yet. Then all nodes of
+    a bucket that still holds several classes are compared, members of any class included, by
+    their word counts, block by block, and what these allow is aligned: no pair is left
+    unresolved. Links join into classes; class_id is the least doc_id of a class.
 
     ``keep`` is true for the row whose doc_id is the class_id (of rows with the same
     doc_id and text, all). A null text counts as an empty one; texts without any word
@@ -311,50 +362,32 @@ def classes(docs: DataFrame, more_rounds: int = 0) -> DataFrame:
     it is no class_id unless all of a class are null. Other columns are not read; an
     empty table gives no rows.
     """
-    schema = "doc_id long, digest string, n_words long, sketch array<long>, short array<long>, cells binary"
+    schema = "doc_id long, digest string, n_words long, keys array<long>, cells binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
     sketched = settled(rows.mapInArrow(_sketch_batches, schema), "near-sketches")
-    nodes = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_words", "sketch", "short", "cells")))
+    nodes = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_words", "keys", "cells")))
     nodes = settled(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(THRESHOLD) - F.lit(1e-9)
-    # A sketch number holds its place among the sketches, so the number alone is a bucket.
-    keyed = nodes.filter("n_words > 0").select("node", "n_words", F.explode(F.concat(F.transform("sketch", lambda x: F.struct(x.alias("value"), F.lit(False).alias("sure"))), F.transform("short", lambda x: F.struct(x.alias("value"), F.lit(True).alias("sure"))))).alias("x"))
-    keyed = keyed.select("node", "n_words", "x.value", "x.sure")
-    sized = keyed.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    members = settled(keyed.join(settled(sized, "near-buckets").drop("n").hint("merge"), "value"), "near-members")
-
-    def first_of(left: DataFrame) -> DataFrame:
-        """Pairs of each bucket's first node with the others."""
-        firsts = settled(left.groupBy("value").agg(F.min_by(F.struct("node", "n_words"), "node").alias("f")).select("value", F.col("f.node").alias("a"), F.col("f.n_words").alias("n_a")), "near-firsts")
-        return left.withColumnsRenamed({"node": "b", "n_words": "n_b"}).join(firsts.hint("merge"), "value").filter("a <> b")
+    # A key holds its place among the sketches, so it alone is a bucket.
+    keyed = nodes.filter("n_words > 0").select("node", "n_words", F.explode("keys").alias("value"))
+    buckets = keyed.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("node", "n_words")).alias("f")).filter("n > 1")
+    buckets = settled(buckets.select("value", F.col("f.node").alias("first"), F.col("f.n_words").alias("n_first")), "near-buckets")
+    members = settled(keyed.join(buckets.hint("merge"), "value"), "near-members")
 
     wanted = settled(members.select("node").distinct().join(nodes.select("node", "digest", "doc_id").hint("merge"), "node"), "near-wanted")
     found = rows.join(wanted.withColumnRenamed("doc_id", "of").hint("merge"), "digest").filter(F.col("doc_id").eqNullSafe(F.col("of")))
     texts = settled(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-    left, roots, unsettled = members, None, None
-    for _ in range(more_rounds + 1):
-        linked = settled(first_of(left), "near-linked")
-        pairs = _alike(linked.filter(near).select("a", "b").distinct(), nodes)
-        # One pair a node first; of its others only those that these don't connect already.
-        tried = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
-        same = tried.filter("same").select("a", "b")
-        roots = rooted(same) if roots is None else merged(roots, same)
-        others = settled(_apart(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), roots), "near-others")
-        if not others.isEmpty():
-            roots = merged(roots, _verified(others, texts).filter("same").select("a", "b"))
-        # Whom its bucket's first node isn't connected to has another turn.
-        left = settled(_apart(linked, roots).select("value", "sure", F.col("b").alias("node"), F.col("n_b").alias("n_words")), "near-left")
-        unsettled = left if unsettled is None else unsettled
-        if left.isEmpty():
-            break
-    # All that first nodes left: every pair of a bucket that is still apart.
-    open_ = members.join(unsettled.select("value").distinct().hint("merge"), "value", "left_semi").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    buckets = open_.groupBy("value").agg(F.collect_list(F.struct("node", "root", "n_words", "sure")).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    shared = buckets.select("nodes").mapInArrow(_pair_batches, "a long, b long, weight long").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    rest = _alike(settled(shared.filter(F.col("weight") >= SHARED).select("a", "b"), "near-rest"), nodes)
+
+    near = F.least("n_first", "n_words") >= F.greatest("n_first", "n_words") * F.lit(THRESHOLD) - F.lit(1e-9)
+    with_first = members.filter(F.col("node") != F.col("first")).filter(near).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    roots = _joined(_alike(with_first, nodes), None, texts)
+    # Buckets in which some node isn't in the class of the first one.
+    known = members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = known.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value")
+    open_ = settled(known.join(mixed.hint("merge"), "value", "left_semi").select("value", "node", "n_words", "root"), "near-open")
+    rest = _in_blocks(open_, nodes)
     if not rest.isEmpty():
-        roots = merged(roots, _verified(rest, texts).filter("same").select("a", "b"))
+        roots = _joined(rest, roots, texts)
     owners = nodes.select("node", "digest", "doc_id")
     owners = owners.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     owners = settled(owners, "near-owners")
@@ -367,10 +400,9 @@ def classes(docs: DataFrame, more_rounds: int = 0) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of the least doc_id
     (of equal rows, one). All columns pass through."""
-    from pyspark.sql import Window
-
-    kept = classes(docs.select("doc_id", "text")).filter("keep").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    keyed = docs.withColumns({"_key": F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
-    found = keyed.join(kept, (F.col("_key") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    order = Window.partitionBy("_key", "doc_id").orderBy("_key")
-    return found.withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*docs.columns)
+    key, row, of, digest = fresh(docs.columns, "key", "row", "of", "digest")
+    kept = classes(docs.select("doc_id", "text")).filter("keep").select(F.col("doc_id").alias(of), F.col("digest").alias(digest)).distinct()
+    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    found = keyed.join(kept, (F.col(key) == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(of)), "left_semi")
+    order = Window.partitionBy(key, "doc_id").orderBy(key)
+    return found.withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1).select(*docs.columns)
