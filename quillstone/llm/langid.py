@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Families of languages by ISO 639-1 code; any other language is a family of its own.
 FAMILIES = {
     "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
@@ -156,11 +158,14 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], l
     return langs, scores
 
 
-def fit(labelled: DataFrame, per_language: int = 400) -> LanguageModel:
+def fit(labelled: DataFrame, per_language: int = 400, max_chars: int = 200_000, max_languages: int = 1000) -> LanguageModel:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, lang): about ``per_language``
-    whole texts of each language, those with the lowest hashes. Null text or lang is left out."""
-    rows = labelled.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("at"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    whole texts of each language, those with the lowest hashes. Null text or lang is left out,
+    texts of over ``max_chars`` aren't learned from; ValueError beyond ``max_languages``."""
+    rows = labelled.filter((F.length("text") <= max_chars) & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("at"))
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"over {max_languages} languages")
     if not counts:
         return LanguageModel([], [], [], np.zeros(((1 << BITS) + 1, 0), np.float32))
     chosen = F.lit(False)
@@ -192,7 +197,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         langs, scores = predict(held.value, [None if pd.isna(t) else t for t in texts])
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.drop("lang_pred", "score").withColumn("_guess", guess("text")).select("*", "_guess.lang_pred", "_guess.score").drop("_guess")
+    docs = docs.drop("lang_pred", "score")
+    (both,) = fresh(docs.columns, "guess")
+    return docs.withColumn(both, guess("text")).select("*", f"{both}.lang_pred", f"{both}.score").drop(both)
 
 
 def held_out(doc_id: Column) -> Column:
