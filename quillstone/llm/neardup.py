@@ -321,16 +321,22 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return settled(moved.unionByName(tops), "near-roots")
 
 
-def _joined(pairs: DataFrame, roots: DataFrame | None, texts: DataFrame) -> DataFrame:
+def _joined(pairs: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     """``roots`` after the links that ``pairs`` (a, b) make: one pair a node is aligned first, of
     the others those that don't connect already."""
     tried = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
-    same = tried.filter("same").select("a", "b")
-    roots = rooted(same) if roots is None else merged(roots, same)
+    roots = merged(roots, tried.filter("same").select("a", "b"))
     others = settled(_apart(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), roots), "near-others")
     return roots if others.isEmpty() else merged(roots, _verified(others, texts).filter("same").select("a", "b"))
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` (value, node, ...) of the buckets that hold several roots, with their root and ``top``, that of the first."""
+    known = members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = known.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "node").alias("top")).filter("low <> high")
+    return settled(known.join(mixed.select("value", "top").hint("merge"), "value").select(*members.columns, "root", "top"), "near-open")
+
+
 def _in_blocks(open_: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of nodes of a bucket with different roots that may be similar, from ``open_`` (value, node,
     n_words, root): large buckets are cut into blocks, each two of which are one task's work."""
@@ -349,12 +355,12 @@ def classes(docs: DataFrame) -> DataFrame:
     Joins of tables that grow with the corpus are sort-merge joins at every size, so
     plans and shuffles are alike at every size and hot buckets can be split.
 
-    Equal texts are one node from the start, so copies are never paired. Every node of a
-    bucket (nodes with an equal key) is first tried with the bucket's first node, and of a node's
-    pairs only those are aligned that connect what isn't connected yet. Then all nodes of
-    a bucket that still holds several classes are compared, members of any class included, by
-    their word counts, block by block, and what these allow is aligned: no pair is left
-    unresolved. Links join into classes; class_id is the least doc_id of a class.
+    Equal texts are one node from the start, so copies are never paired. Every node is first
+    tried with the first node of one of its buckets (nodes with an equal key), then, in buckets that
+    still hold several classes, with the first node of each whose class isn't its own. Then all
+    nodes of the buckets that hold several classes even now are compared, members of any class
+    included, by their word counts, block by block, and what these allow is aligned: no pair is
+    left unresolved. Links join into classes; class_id is the least doc_id of a class.
 
     ``keep`` is true for the row whose doc_id is the class_id (of rows with the same
     doc_id and text, all). A null text counts as an empty one; texts without any word
@@ -379,12 +385,15 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = settled(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
     near = F.least("n_first", "n_words") >= F.greatest("n_first", "n_words") * F.lit(THRESHOLD) - F.lit(1e-9)
-    with_first = members.filter(F.col("node") != F.col("first")).filter(near).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    roots = _joined(_alike(with_first, nodes), None, texts)
-    # Buckets in which some node isn't in the class of the first one.
-    known = members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = known.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value")
-    open_ = settled(known.join(mixed.hint("merge"), "value", "left_semi").select("value", "node", "n_words", "root"), "near-open")
+    one = members.filter(F.col("node") != F.col("first")).filter(near).groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a"))
+    tried = _verified(_alike(one, nodes), texts)
+    roots = rooted(tried.filter("same").select("a", "b"))
+    open_ = _mixed(members, roots)
+    others = open_.filter(F.col("root") != F.col("top")).filter(near).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    others = _alike(others.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes)
+    if not others.isEmpty():
+        roots = _joined(others, roots, texts)
+        open_ = _mixed(open_.select(*members.columns), roots)
     rest = _in_blocks(open_, nodes)
     if not rest.isEmpty():
         roots = _joined(rest, roots, texts)
