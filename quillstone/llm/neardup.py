@@ -33,7 +33,7 @@ K, SKETCHES, LEAST = 3, 88, 60
 FEW_K, FEW_SKETCHES, FEW = 2, 40, 75
 SHARED, SHORT = 1, 14
 #: Cells of the word counts that tell texts apart before they are aligned, and as few for a first look.
-CELLS, COARSE = 256, 16
+CELLS, COARSE = 1024, 16
 #: Nodes of a bucket that are compared with each other in one task.
 BLOCK = 1024
 
@@ -211,16 +211,30 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum(apart, 0).sum(axis=-1), np.maximum(-apart, 0).sum(axis=-1))
 
 
+def _own_numbers(keys: pa.ListArray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch numbers (nodes x all sketches) of nodes of ``n`` words from their keys, and which of them a node has."""
+    out, has = np.zeros((len(n), SKETCHES + FEW_SKETCHES), np.int64), np.zeros((len(n), SKETCHES + FEW_SKETCHES), bool)
+    has[n >= LEAST, :SKETCHES] = True
+    has[n < FEW, SKETCHES:] = True
+    flat, at = keys.flatten().to_numpy(), np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())])
+    for i in range(len(n)):
+        own = np.flatnonzero(has[i])
+        out[i, own] = flat[at[i] : at[i] + len(own)]
+    return out, has
+
+
 def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a < b) of different roots between two blocks of a bucket (or within one) whose numbers
-    of words and word counts allow the threshold; only those leave the task."""
+    of words and word counts allow the threshold; only those leave the task, and of all
+    buckets that a pair has in common only the first sketch's names it."""
     for batch in batches:
-        for nodes, i, j in zip(batch.column("nodes"), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+        for value, nodes, i, j in zip(batch.column("value").to_pylist(), batch.column("nodes"), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
             flat = nodes.values
             node, root, n, block = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "n_words", "block"))
             order = np.lexsort((node, n))
             node, root, n, block = node[order], root[order], n[order], block[order]
             all_, few = _counted(flat.field("cells").take(pa.array(order)).to_pylist())
+            numbers, has = _own_numbers(flat.field("keys").take(pa.array(order)), n)
             # In order of words: similar texts are up to a quarter longer.
             ends = np.searchsorted(n, n / THRESHOLD + 1e-9, "right")
             left, right = [], []
@@ -230,6 +244,10 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 for counts in (few, all_):
                     if len(at):
                         at = at[_differ(counts[x], counts[at]) <= n[at] * (1 - THRESHOLD) + 1e-9]
+                if len(at):
+                    equal = (numbers[at] == numbers[x]) & has[at] & has[x]
+                    first = equal.argmax(axis=1)
+                    at = at[~equal.any(axis=1) | (numbers[at, first] == value)]
                 left.append(np.full(len(at), node[x]))
                 right.append(node[at])
             x, y = np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
@@ -342,11 +360,11 @@ def _in_blocks(open_: DataFrame, nodes: DataFrame) -> DataFrame:
     n_words, root): large buckets are cut into blocks, each two of which are one task's work."""
     sizes = open_.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     sizes = sizes.select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = open_.join(sizes.hint("merge"), "value").join(nodes.select("node", "cells").hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = open_.join(sizes.hint("merge"), "value").join(nodes.select("node", "cells", "keys").hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("node", "root", "n_words", "block", "cells").alias("own"))
+    dealt = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("node", "root", "n_words", "block", "cells", "keys").alias("own"))
     groups = dealt.groupBy("value", "i", "j").agg(F.collect_list("own").alias("nodes"))
-    return settled(groups.select("nodes", "i", "j").mapInArrow(_block_batches, "a long, b long").distinct(), "near-rest")
+    return settled(groups.mapInArrow(_block_batches, "a long, b long").distinct(), "near-rest")
 
 
 def classes(docs: DataFrame) -> DataFrame:
