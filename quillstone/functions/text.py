@@ -88,37 +88,40 @@ def _rate(truth: Column, guess: Column, distance: Column, length: Column) -> Col
 def cer(truth: Column, guess: Column) -> Column:
     """Character error rate of stripped texts; without truth 0 or 1."""
     a, b = stripped(truth), stripped(guess)
-    return _rate(truth, guess, F.levenshtein(a, b), F.length(a))
-
-
-def word_codes(truth: Column, guess: Column) -> tuple[Column, Column]:
-    """Both texts with each different word as one character, so that edit distance counts words.
-
-    Words are taken at white space; up to 55,000 different words have a code each.
-    """
-    a, b = (F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "") for x in (truth, guess))
-    known = F.array_distinct(F.concat(a, b))
-
-    def coded(words: Column) -> Column:
-        number = F.transform(words, lambda w: F.array_position(known, w).cast("int"))
-        # UTF-8 of one character of three bytes for each number, clear of the surrogates.
-        code = F.transform(number, lambda n: n + F.when(n + 0x0800 >= 0xD800, 0x1000).otherwise(0x0800))
-        parts = F.transform(code, lambda c: F.concat(F.hex(F.lit(0xE0) + F.shiftright(c, 12)), F.hex(F.lit(0x80) + F.shiftright(c, 6).bitwiseAND(F.lit(63))), F.hex(F.lit(0x80) + c.bitwiseAND(F.lit(63)))))
-        return F.decode(F.unhex(F.array_join(parts, "")), "UTF-8")
-
-    return coded(a), coded(b)
-
-
-def edit_distance(a: list, b: list) -> int:
-    """Edits between two sequences, one row of the table at a time."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    return _rate(truth, guess, character_edits(a, b), F.length(a))
+
+
+def edit_distance(a: str | list, b: str | list) -> int:
+    """Edits between two sequences: a column of the table is a number of as many bits as the
+    first has elements, so whole texts cost little more than reading them."""
+    if a == b:
+        return 0
+    n = min(len(a), len(b))
+    head = next((i for i in range(n) if a[i] != b[i]), n)
+    tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | (1 << i)
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    more, less, distance = full, 0, len(a)
+    for x in b:
+        hit = places.get(x, 0)
+        across = (((hit & more) + more) ^ more) | hit | less
+        up, down = less | ~(across | more) & full, more & across
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        hit |= less
+        more, less = down | ~(hit | up) & full, up & hit
+    return distance
+
+
+@F.pandas_udf(T.LongType())
+def character_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance of two texts in characters, whole texts at any length."""
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
 def word_error(truth: str | None, guess: str | None) -> float:

@@ -1,5 +1,7 @@
 """Column expressions against the scanner, layout, rendering, arbitration, files, queue."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,10 +76,43 @@ def test_metric_normalization_and_rates(spark):
         tx.normalize_for_metric(F.col("a"), "other")
 
 
-def test_word_codes_count_words(spark):
-    df = spark.createDataFrame([("a b c d", "a x c"), ("один два", "один два")], "a string, b string")
-    a, b = tx.word_codes(F.col("a"), F.col("b"))
-    assert values(df.select(F.levenshtein(a, b).alias("d")), "d") == [2, 0]
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_of_characters_and_words():
+    rng = random.Random(3)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(14))) for _ in range(2))
+        assert tx.edit_distance(a, b) == plain_distance(a, b)
+        assert tx.edit_distance(a.split(), b.split()) == plain_distance(a.split(), b.split())
+    assert tx.edit_distance("a b c d".split(), "a x c".split()) == 2
+    long = "ab c" * 20_000
+    assert tx.edit_distance(long + "x", "y" + long) == 2
+
+
+def test_error_rates_of_whole_texts(spark):
+    """Texts of any length and script, against the plain table."""
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("аб ё\n") for _ in range(rng.randrange(900))), "".join(rng.choice("аб ё\n") for _ in range(rng.randrange(900)))) for _ in range(6)]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("c", tx.cer(F.col("a"), F.col("b"))).withColumn("w", tx.word_error_rate("a", "b"))
+    for r in df.collect():
+        a, b = r.a.strip(), r.b.strip()
+        assert r.c == pytest.approx(plain_distance(a, b) / len(a) if a and b else float(bool(a) or bool(b)))
+        assert r.w == pytest.approx(plain_distance(a.split(), b.split()) / len(a.split()) if a.split() and b.split() else float(bool(a.split()) or bool(b.split())))
+
+
+def test_udfs_run_once_under_filters(spark):
+    """A filter on what a UDF finds doesn't make it run a second time."""
+    df = spark.createDataFrame([("a", "12.01.2026")], "doc_id string, text string")
+    for plan in (fields.with_fields(df).filter(F.size("fields.dates") > 0), fields.needs_review(fields.field_hits(df)), df.select(F.explode(fields.validate_text("text")).alias("w"))):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("ArrowEvalPython") + text.count("MapInArrow") == 1
 
 
 def box(text, x0, y0, w=30, h=10, conf=0.9):
