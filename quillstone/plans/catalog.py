@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..operators import arbitrate, evaluate, gates, intervals, layout, lines, process, render
 from ..sources import files, sinks
 from ..streaming import jobs
+from ..schemas import FIELD_KEYS
 from . import inputs
 from .inputs import WORDS_SQL, duck, shared, table
 
@@ -89,11 +90,16 @@ def id_structural(spark, sf_dir):
     return shared(spark, sf_dir, inputs.TWELVE).select("o_orderkey", "s", identifiers.looks_like_bin(F.col("s")).alias("bin"), identifiers.looks_like_iin(F.col("s")).alias("iin"))
 
 
-REPAIR_SQL = f"""WITH t AS ({duck(inputs.TWELVE)}), c(a, b) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, bs in identifiers.CONFUSIONS.items() for b in bs)}),
+def _repaired(numbers: str) -> str:
+    """CTEs up to f(o_orderkey, s, ok, cands) of the numbers that SQL gives."""
+    return f"""t AS ({numbers}), c(a, b) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, bs in identifiers.CONFUSIONS.items() for b in bs)}),
 n AS (SELECT o_orderkey, s, pos, substr(s, 1, pos - 1) || c.b || substr(s, pos + 1) AS v FROM t, range(1, 13) AS r(pos) JOIN c ON c.a = substr(s, pos, 1) WHERE NOT {_valid("s")}),
 k AS (SELECT *, {_structure("v")[0]} OR {_structure("v")[1]} AS st FROM n WHERE {_valid("v")}),
 g AS (SELECT o_orderkey, count(*) AS n, count_if(st) AS m, list(v ORDER BY pos, v) AS allc, coalesce(list(v ORDER BY pos, v) FILTER (WHERE st), []) AS stc FROM k GROUP BY o_orderkey),
-f AS (SELECT t.o_orderkey, s, {_valid("s")} AS ok, CASE WHEN n > 1 AND m > 0 THEN stc ELSE coalesce(allc, []) END AS cands FROM t LEFT JOIN g USING (o_orderkey))
+f AS (SELECT t.o_orderkey, s, {_valid("s")} AS ok, CASE WHEN n > 1 AND m > 0 THEN stc ELSE coalesce(allc, []) END AS cands FROM t LEFT JOIN g USING (o_orderkey))"""
+
+
+REPAIR_SQL = f"""WITH {_repaired(duck(inputs.TWELVE))}
 SELECT o_orderkey, s, CASE WHEN ok THEN 'valid' WHEN len(cands) = 1 THEN 'fixed' WHEN len(cands) > 1 THEN 'ambiguous' ELSE 'invalid' END AS status,
   CASE WHEN NOT ok AND len(cands) = 1 THEN cands[1] ELSE s END AS value, CASE WHEN ok THEN s ELSE array_to_string(cands, ',') END AS candidates FROM f"""
 
@@ -161,27 +167,35 @@ def _sentence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN NOT bad_date THEN strftime(strptime(raw_date, '%d.%m.%Y'), '%Y-%m-%d') END AS date, s12 AS bin_raw, {_valid("s12")} AS bin_valid FROM t"""
 )
 def fields_struct(spark, sf_dir):
-    rows = shared(spark, sf_dir, inputs.SENTENCES).withColumn("f", fields.extract_fields("text")).filter(F.size("f.amounts") > 0)
+    rows = fields.with_fields(shared(spark, sf_dir, inputs.SENTENCES), "text", "f").filter(F.size("f.amounts") > 0)
     amount, day, number = (F.get(f"f.{k}", F.lit(0)) for k in ("amounts", "dates", "bin"))
     return rows.select("o_orderkey", amount["value"].alias("amount"), amount["words_match"].alias("words_match"), day["value"].alias("date"), number["raw"].alias("bin_raw"), (number["status"] == "valid").alias("bin_valid"))
 
 
-@query(f"""WITH t AS ({SENT}) SELECT o_orderkey, 'amount_mismatch' AS type FROM t WHERE wrong UNION ALL SELECT o_orderkey, 'date_invalid' FROM t WHERE bad_date""")
+#: The warnings of each sentence in order: identifier, amount, date.
+PROBLEMS_SQL = f"""WITH q AS ({SENT}), {_repaired("SELECT o_orderkey, s12 AS s FROM q")}, p AS (SELECT o_orderkey, 0 AS kind,
+    CASE WHEN len(cands) = 0 THEN 'bin_checksum_failed' WHEN len(cands) = 1 THEN 'bin_repaired' ELSE 'bin_ambiguous_fix' END AS type,
+    CASE WHEN len(cands) = 0 THEN s || ': контрольный разряд не сходится, кандидатов нет' WHEN len(cands) = 1 THEN s || ' → ' || cands[1] || ': исправлено по контрольной сумме, проверьте оригинал'
+      ELSE s || ': несколько кандидатов [' || chr(39) || array_to_string(cands, chr(39) || ', ' || chr(39)) || chr(39) || '], не исправляем' END AS detail FROM f WHERE NOT ok
+  UNION ALL SELECT o_orderkey, 1, 'amount_mismatch', (value + 1) || ' (' || ru || '): цифрами ' || (value + 1) || ', прописью ' || value FROM q WHERE wrong
+  UNION ALL SELECT o_orderkey, 2, 'date_invalid', raw_date || ': несуществующая дата' FROM q WHERE bad_date)"""
+
+
+@query(f"{PROBLEMS_SQL} SELECT o_orderkey, type FROM p")
 def text_warnings(spark, sf_dir):
-    rows = shared(spark, sf_dir, inputs.SENTENCES).select("o_orderkey", F.explode(fields.validate_text("text")).alias("w"))
-    return rows.filter(~F.startswith("w.type", F.lit("bin"))).select("o_orderkey", "w.type")
+    return shared(spark, sf_dir, inputs.SENTENCES).select("o_orderkey", F.explode(fields.validate_text("text")).alias("w")).select("o_orderkey", "w.type")
 
 
-@query()
+@query(f"{PROBLEMS_SQL} SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY kind) - 1 AS INT) AS seq, type, detail FROM p")
 def warnings_full(spark, sf_dir):
     rows = shared(spark, sf_dir, inputs.SENTENCES).select("o_orderkey", F.posexplode(fields.validate_text("text")).alias("seq", "w"))
     return rows.select("o_orderkey", "seq", "w.type", "w.detail")
 
 
-@query(f"WITH t AS ({SENT}) SELECT field, count(*) AS n FROM (SELECT 'dates' AS field FROM t WHERE NOT bad_date UNION ALL SELECT 'amounts' FROM t) GROUP BY field")
+@query(f"WITH q AS ({SENT}), {_repaired('SELECT o_orderkey, s12 AS s FROM q')} SELECT field, count(*) AS n FROM (SELECT 'dates' AS field FROM q WHERE NOT bad_date UNION ALL SELECT 'amounts' FROM q UNION ALL SELECT 'bin' FROM f WHERE ok OR len(cands) = 1) GROUP BY field")
 def confirmed_values(spark, sf_dir):
-    rows = shared(spark, sf_dir, inputs.SENTENCES).select(F.explode(fields.confirmed_values(fields.extract_fields("text"))).alias("field", "v"))
-    return rows.filter("field <> 'bin'").select("field", F.explode("v")).groupBy("field").agg(F.count("*").alias("n"))
+    rows = fields.with_fields(shared(spark, sf_dir, inputs.SENTENCES), "text", "f").select(F.explode(fields.confirmed_values(F.col("f"))).alias("field", "v"))
+    return rows.select("field", F.explode("v")).groupBy("field").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH t AS ({SENT}) SELECT o_orderkey, 'dates' AS field, raw_date AS raw FROM t WHERE bad_date UNION ALL SELECT o_orderkey, 'bin', s12 FROM t WHERE NOT {_valid('s12')} UNION ALL SELECT o_orderkey, 'amounts', CAST(value + 1 AS VARCHAR) || ' (' || ru || ')' FROM t WHERE wrong")
@@ -201,22 +215,35 @@ def metric_normalize(spark, sf_dir):
     return value.select("doc_id", F.md5(F.col("v").cast("binary")).alias("normalized"), F.length("v").cast("bigint").alias("chars"))
 
 
-PAIRED = f"p AS ({duck(inputs.PAIRS)})"
+def _trimmed(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _rated(a: str, b: str, edits: str, length: str) -> str:
+    return f"CASE WHEN {a} = '' THEN CASE WHEN {b} = '' THEN 0.0 ELSE 1.0 END WHEN {b} = '' THEN 1.0 ELSE ({edits}) / {length} END"
 
 
 def _cer(a: str, b: str) -> str:
-    return f"CASE WHEN trim({a}, ' ' || chr(10) || chr(9)) = '' THEN CASE WHEN trim({b}, ' ' || chr(10) || chr(9)) = '' THEN 0.0 ELSE 1.0 END WHEN trim({b}, ' ' || chr(10) || chr(9)) = '' THEN 1.0 ELSE levenshtein(trim({a}, ' ' || chr(10) || chr(9)), trim({b}, ' ' || chr(10) || chr(9))) / length(trim({a}, ' ' || chr(10) || chr(9))) END"
+    """The changes of ``inputs.PAIRS`` replace letters, or one text is the other with characters left out."""
+    return _rated(a, b, f"CASE WHEN v = 1 THEN length({b}) - length(replace({b}, '¤', '')) ELSE abs(length({a}) - length({b})) END", f"length({a})")
 
 
-@query(f"WITH {PAIRED} SELECT name, round({_cer('gt_text', 'pred_text')}, 9) AS cer FROM p")
-def cer_eval(spark, sf_dir):
-    return shared(spark, sf_dir, inputs.PAIRS).select("name", F.round(tx.cer(F.col("gt_text"), F.col("pred_text")), 9).alias("cer"))
+def _wer(a: str, b: str) -> str:
+    listed = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
+    own, other = listed.format(a), listed.format(b)
+    return _rated(a, b, f"CASE WHEN v = 1 THEN len(list_filter({other}, lambda w: contains(w, '¤'))) ELSE abs(len({own}) - len({other})) END", f"len({own})")
 
 
 DIGITS_OF = "array_to_string(regexp_extract_all({0}, '[0-9]+'), ' ')"
+PAIRED = f"p AS (SELECT *, CAST(name AS BIGINT) % 5 AS v FROM ({duck(inputs.PAIRS)})), t AS (SELECT *, {_trimmed('gt_text')} AS a, {_trimmed('pred_text')} AS b FROM p)"
 
 
-@query(f"WITH {PAIRED}, d AS (SELECT name, {DIGITS_OF.format('gt_text')} AS a, {DIGITS_OF.format('pred_text')} AS b FROM p) SELECT name, round({_cer('a', 'b')}, 9) AS digit_cer FROM d")
+@query(f"WITH {PAIRED} SELECT name, round({_cer('a', 'b')}, 9) AS cer FROM t")
+def cer_eval(spark, sf_dir):
+    return shared(spark, sf_dir, inputs.PAIRS).select("name", F.round(tx.cer(F.col("gt_text"), F.col("pred_text")), 9).alias("cer"))
+
+
+@query(f"WITH {PAIRED}, d AS (SELECT name, v, {DIGITS_OF.format('gt_text')} AS x, {DIGITS_OF.format('pred_text')} AS y FROM p) SELECT name, round({_cer('x', 'y')}, 9) AS digit_cer FROM d")
 def digit_cer(spark, sf_dir):
     return shared(spark, sf_dir, inputs.PAIRS).select("name", F.round(tx.digit_cer(F.col("gt_text"), F.col("pred_text")), 9).alias("digit_cer"))
 
@@ -226,22 +253,23 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.document_metrics(pairs)
 
 
-@query()
-def document_metrics(spark, sf_dir):
-    return _metrics(spark, sf_dir)
+METRIC_SQL = f"""{PAIRED}, n AS (SELECT *, {NORMAL.replace("(text,", "(gt_text,")} AS g, {NORMAL.replace("(text,", "(pred_text,")} AS q FROM t),
+m AS (SELECT name, pred_text = '' AS missing, {_cer("a", "b")} AS cer_strict, {_wer("a", "b")} AS wer_strict, {_cer("g", "q")} AS cer_norm, {_wer("g", "q")} AS wer_norm, length(g) AS chars_gt, length(q) AS chars_pred FROM n)"""
+RATES = ("cer_strict", "wer_strict", "cer_norm", "wer_norm")
 
 
-METRIC_SQL = f"""{PAIRED}, n AS (SELECT name, pred_text = '' AS missing, {_cer("gt_text", "pred_text")} AS cer_strict, {NORMAL.replace("(text,", "(gt_text,")} AS g, {NORMAL.replace("(text,", "(pred_text,")} AS q FROM p),
-m AS (SELECT name, missing, cer_strict, {_cer("g", "q")} AS cer_norm, length(g) AS chars_gt FROM n)"""
+@query(f"WITH {METRIC_SQL} SELECT name, missing, {', '.join(f'round({c}, 9) AS {c}' for c in RATES)}, chars_gt, chars_pred FROM m")
+def document_metrics(spark, sf_dir):
+    return _metrics(spark, sf_dir).withColumns({c: F.round(c, 9) for c in RATES})
 
 
 @query(
     f"""WITH {METRIC_SQL} SELECT count(*) AS docs, CAST(count_if(missing) AS BIGINT) AS missing, CAST(sum(chars_gt) AS BIGINT) AS chars_gt, round(sum(cer_strict * chars_gt) / sum(chars_gt), 6) AS micro_cer_strict,
-  round(sum(cer_norm * chars_gt) / sum(chars_gt), 6) AS micro_cer_norm, round(avg(cer_strict), 6) AS macro_cer_strict, round(avg(cer_norm), 6) AS macro_cer_norm FROM m"""
+  round(sum(cer_norm * chars_gt) / sum(chars_gt), 6) AS micro_cer_norm, {', '.join(f'round(avg({c}), 6) AS macro_{c}' for c in RATES)} FROM m"""
 )
 def micro_macro(spark, sf_dir):
     found = evaluate.summary(_metrics(spark, sf_dir))
-    return found.select("docs", F.col("missing").cast("bigint").alias("missing"), "chars_gt", *(F.round(c, 6).alias(c) for c in ("micro_cer_strict", "micro_cer_norm", "macro_cer_strict", "macro_cer_norm")))
+    return found.select("docs", F.col("missing").cast("bigint").alias("missing"), "chars_gt", *(F.round(c, 6).alias(c) for c in ("micro_cer_strict", "micro_cer_norm", *(f"macro_{x}" for x in RATES))))
 
 
 @query(f"WITH {METRIC_SQL} SELECT name, round(cer_norm, 9) AS cer_norm FROM m ORDER BY m.cer_norm DESC, name LIMIT 10")
@@ -295,15 +323,16 @@ def extra_pred(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PAIRED}, s AS (SELECT name, string_split(gt_text, chr(10)) AS a, string_split(pred_text, chr(10)) AS b FROM p), l AS (SELECT name, i, coalesce(a[i], '') AS gt_line, coalesce(b[i], '') AS pred_line
-  FROM s, range(1, 400) AS r(i) WHERE i <= greatest(len(a), len(b))), f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY i) AS nth FROM l WHERE gt_line <> pred_line)
+    f"""WITH {PAIRED}, x AS (SELECT name, unnest(string_split(gt_text, chr(10))) AS line, generate_subscripts(string_split(gt_text, chr(10)), 1) AS i FROM p),
+y AS (SELECT name, unnest(string_split(pred_text, chr(10))) AS line, generate_subscripts(string_split(pred_text, chr(10)), 1) AS i FROM p),
+l AS (SELECT name, i, coalesce(x.line, '') AS gt_line, coalesce(y.line, '') AS pred_line FROM x FULL JOIN y USING (name, i)), f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY i) AS nth FROM l WHERE gt_line <> pred_line)
 SELECT name, CAST(i AS INT) AS line, gt_line, pred_line FROM f WHERE nth = 1"""
 )
 def first_diff(spark, sf_dir):
     return evaluate.first_difference(shared(spark, sf_dir, inputs.PAIRS))
 
 
-FILES = "SELECT CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS STRING) ELSE CAST(doc_id - doc_id % 3 AS STRING) END || CASE doc_id % 3 WHEN 1 THEN '.pdf.txt' ELSE '.txt' END AS file, CAST(doc_id AS STRING) AS text FROM {documents} WHERE doc_id % 3 < 2"
+FILES = "SELECT CASE WHEN doc_id % 3 = 2 THEN 'z' || CAST(doc_id AS STRING) ELSE CAST(doc_id - doc_id % 3 AS STRING) END || CASE doc_id % 3 WHEN 1 THEN '.pdf.txt' ELSE '.txt' END AS file, CAST(doc_id AS STRING) AS text FROM {documents}"
 
 
 @query(f"SELECT name, text FROM (SELECT regexp_replace(file, '(\\.pdf)?\\.txt$', '') AS name, text, row_number() OVER (PARTITION BY regexp_replace(file, '(\\.pdf)?\\.txt$', '') ORDER BY file) AS nth FROM ({duck(FILES)})) WHERE nth = 1")
@@ -337,11 +366,11 @@ def median_height(spark, sf_dir):
     return lines.median_height(_lines(spark, sf_dir), "doc_id", "page")
 
 
-@query(f"WITH {LINES_SQL}, pc AS (SELECT doc_id, page, avg(conf) AS c FROM li GROUP BY ALL) SELECT doc_id, page, 'low_confidence_page' AS type FROM pc WHERE c < 0.5 - 1e-12")
+@query(f"WITH {LINES_SQL}, pc AS (SELECT doc_id, page, avg(conf) AS c FROM li GROUP BY ALL) SELECT doc_id, page, 'low_confidence_page' AS type FROM pc WHERE c < {gates.LOW_CONFIDENCE} - 1e-12")
 def low_confidence(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     pages = rows.select("doc_id", "page").distinct().withColumn("source", F.lit("ocr"))
-    scored = lines.page_confidence(rows, pages).withColumns({"n_blocks": F.lit(1), "mean_conf": F.col("mean_conf") + 0.2 + 1e-12})
+    scored = lines.page_confidence(rows, pages).withColumns({"n_blocks": F.lit(1), "mean_conf": F.col("mean_conf") + 1e-12})
     return gates.low_confidence(scored).select("doc_id", "page", "type")
 
 
@@ -481,7 +510,7 @@ def _page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def render_grid(spark, sf_dir):
-    rows = render.all_profiles(_page_rows(spark, sf_dir).filter(F.col("doc_id").cast("bigint") >= 0))
+    rows = render.all_profiles(_page_rows(spark, sf_dir))
     return rows.groupBy("render").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -504,13 +533,16 @@ def arbitration(spark, sf_dir):
     return done.select("doc_id", "page", F.size("lines").alias("lines"), F.size("messages").alias("disagreements"))
 
 
-@query()
+@query(f"SELECT o_orderkey, ru AS text FROM ({duck(inputs.NUMERALS)})")
 def homoglyphs(spark, sf_dir):
     rows = shared(spark, sf_dir, f"SELECT o_orderkey, translate(ru, 'аео', 'aeo') AS text FROM ({inputs.NUMERALS})")
     return rows.select("o_orderkey", tx.normalize_text("text").alias("text"))
 
 
-@query()
+@query(
+    f"""WITH {PAIRED}, n AS (SELECT name, length(gt_text) AS m, length(pred_text) AS k, CASE WHEN v = 1 THEN length(replace(pred_text, '¤', '')) ELSE least(length(gt_text), length(pred_text)) END AS common FROM p)
+SELECT name, round(CASE WHEN m + k = 0 THEN 1.0 ELSE 2 * common / (m + k) END, 9) AS ratio FROM n"""
+)
 def indel_similarity(spark, sf_dir):
     return shared(spark, sf_dir, inputs.PAIRS).select("name", F.round(tx.indel_ratio("gt_text", "pred_text"), 9).alias("ratio"))
 
@@ -547,7 +579,7 @@ def engine_words(spark, sf_dir):
     return files.engine_words(rows).select("doc_id", "seq", "text", "x0", "x1")
 
 
-@query("SELECT doc_id, CAST(i - 1 AS INT) AS page, md5(p[i]) AS raw_text FROM (SELECT doc_id, string_split(text, 'the') AS p FROM documents), range(1, 30000) AS r(i) WHERE i <= len(p) AND (i < len(p) OR p[i] <> '')")
+@query("SELECT doc_id, CAST(i - 1 AS INT) AS page, md5(part) AS raw_text FROM (SELECT doc_id, unnest(string_split(text, 'the')) AS part, generate_subscripts(string_split(text, 'the'), 1) AS i, len(string_split(text, 'the')) AS n FROM documents) WHERE i < n OR part <> ''")
 def page_texts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "the", "\f").alias("text"))
     return files.page_texts(rows).select("doc_id", "page", F.md5(F.col("raw_text").cast("binary")).alias("raw_text"))
@@ -593,7 +625,11 @@ def speedup(spark, sf_dir):
     return evaluate.speedup(shared(spark, sf_dir, TIMES)).select("config", "workers", F.round("speedup", 9).alias("speedup"))
 
 
-@query()
+@query(
+    f"""WITH {METRIC_SQL}, {STATS_SQL},
+w AS (SELECT name, {", ".join(f"CAST(sum({c}) FILTER (WHERE field = '{k}') AS BIGINT) AS {k}_{c}" for k in FIELD_KEYS for c in ("expected", "found", "correct"))} FROM s GROUP BY name)
+SELECT m.name, CAST(missing AS INT) AS missing, {", ".join(f"printf('%.6f', {c}) AS {c}" for c in RATES)}, chars_gt, chars_pred, {", ".join(f"coalesce({k}_{c}, 0) AS {k}_{c}" for k in FIELD_KEYS for c in ("expected", "found", "correct"))} FROM m LEFT JOIN w USING (name)"""
+)
 def report_csv(spark, sf_dir):
     return sinks.csv_rows(_metrics(spark, sf_dir), _stats(spark, sf_dir))
 

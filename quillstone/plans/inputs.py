@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer splits than there are cores (a single small file) is dealt to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores and rows.rdd.getNumPartitions() < cores else rows
 
 
 def shared(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -81,10 +84,11 @@ SENTENCES = f"""SELECT o_orderkey, value, ru, wrong, bad_date, s12, raw_date,
       lpad(CAST((o_orderkey * 104729) % 999999999989 AS STRING), 12, '0') AS s12
     FROM ({NUMERALS}) WHERE value IS NOT NULL)"""
 
-#: Pairs of texts for error rates: plain ASCII texts of up to 400 characters, and the same with changes.
+#: Whole texts of all documents and the same with changes of which the number of edits is known: none,
+#: one letter for another that no text has, words taken out, words added, nothing left.
 PAIRS = """SELECT CAST(doc_id AS STRING) AS name, t AS gt_text,
-    CASE doc_id % 4 WHEN 0 THEN t WHEN 1 THEN replace(t, 'th', 'tn') WHEN 2 THEN substr(t, 1, length(t) - 5) || ' 12 x' ELSE '' END AS pred_text
-  FROM (SELECT doc_id, substr(text, 1, 400) AS t FROM {documents} WHERE lang = 'en') WHERE length(t) = strlen_bytes(t)"""
+    CASE doc_id % 5 WHEN 0 THEN t WHEN 1 THEN replace(t, 'e', '¤') WHEN 2 THEN replace(t, ' the ', ' ') WHEN 3 THEN t || ' 12 345' ELSE '' END AS pred_text
+  FROM (SELECT doc_id, replace(coalesce(text, ''), '¤', ' ') AS t FROM {documents})"""
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
