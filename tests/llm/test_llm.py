@@ -96,6 +96,46 @@ def test_decontamination(spark, docs, empty):
     assert {(r.doc_id, r.text): [h.item_id for h in r.hits] for r in split} == found
 
 
+def test_stop_words_are_decided_for_each_item():
+    """Items that share words with others keep enough of their own, whatever the order."""
+    idf = np.array([1.0, 1.0, 8.0, 8.0, 9.0], np.float32)
+    common = np.array([True, True, True, False, False])
+    items = [np.array([0, 1, 2]), np.array([2, 3]), np.array([0, 3, 4])]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 0, 2]):
+        assert decontam.unweighted(idf, common, [items[i] for i in order]).tolist() == [False, False, False, False, False]
+    assert decontam.unweighted(idf, common, [items[2]]).tolist() == [True, True, True, False, False]
+
+
+def test_search_skips_nothing_that_can_be_confirmed(spark, monkeypatch):
+    """Hits with and without the test of what words are around, over slabs and very long texts."""
+    items = [(i, sentence(rng.choice([6, 9, 30, 120]), 300, "w")) for i in range(50)]
+    texts = [sentence(rng.randrange(0, 300), 300, "w") + " " + rng.choice(items)[1] + " " + sentence(rng.randrange(0, 90), 300, "w") for _ in range(60)] + [None, "", " ".join(t for _, t in items) * 3]
+    latent = decontam.fit(spark.createDataFrame([(t,) for t in texts], "text string"), items)
+    found = decontam.search(latent, texts)
+    assert sum(map(len, found)) >= 60
+    latent.plan.needed[:] = -1
+    assert [[h[0] for h in a] for a in decontam.search(latent, texts)] == [[h[0] for h in a] for a in found]
+    latent._plan = None
+    whole = decontam._search_chunk
+    monkeypatch.setattr(decontam, "_search_chunk", lambda *a: whole(*a, slab=8))
+    assert [[h[0] for h in a] for a in decontam.search(latent, texts)] == [[h[0] for h in a] for a in found]
+
+
+def test_passage_counts():
+    """Passages each word is in, against a direct count."""
+    texts = [sentence(rng.randrange(0, 200), 30, "c") for _ in range(20)] + ["", None]
+    hashed = [own for _, own in decontam._tokens(texts)]
+    vocabulary = np.unique(np.concatenate(hashed))[::2]
+    got = next(decontam._document_counts(vocabulary)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    counts = dict(zip(got.column("word").to_pylist(), got.column("passages").to_pylist(), strict=True))
+    expected = Counter()
+    for own in hashed:
+        for p in range(-1, len(own) // 32 + 1):
+            expected.update(k for k, v in enumerate(vocabulary) if v in own[max(0, 32 * p) : 32 * p + 64])
+    assert {k: v for k, v in counts.items() if k >= 0} == dict(expected)
+    assert counts[-1] == sum(len(own) // 32 + 1 for own in hashed) and counts[-2] == len(texts)
+
+
 def test_common_words():
     for _ in range(300):
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(1, 9))] for _ in range(2))
@@ -157,6 +197,7 @@ def test_apportionment():
         votes, caps = [float(rng.randrange(0, 50)) for _ in range(n)], [rng.randrange(0, 30) for _ in range(n)]
         seats = rng.randrange(0, 60)
         assert mixing.apportion(votes, seats, caps) == seats_one_by_one(votes, seats, caps)
+    assert mixing.apportion([13.0, 33.0, 1.0, 33.0, 3.0], 25, [27, 10, 4, 7, 10]) == [7, 10, 0, 7, 1]
     assert mixing.water_fill([100, 10, 0], [3, 1, 2], 165.0) == [145.0, 20.0, 0.0]
     assert sum(mixing.apportion([3e13, 1e13], 10**10, [10**11] * 2)) == 10**10
 
@@ -276,6 +317,28 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.classes(empty).count() == 0 and neardup.one_of_each(empty).count() == 0
 
 
+def test_pairs_of_blocks():
+    """Blocks of a bucket: every pair that word counts allow, once, in its first common bucket."""
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join(changed(base, set(rng.sample(range(100), rng.choice([5, 30]))), f"t{k}z")) for k in range(12)]
+    word, sizes = neardup.normal_words(texts)
+    numbers, has = neardup._sketched(word, sizes)
+    at, nodes = 0, []
+    for k, n in enumerate(sizes.tolist()):
+        nodes.append({"node": k, "root": k % 4, "n_words": n, "block": k % 2, "cells": neardup.word_counts(word[at : at + n]), "keys": numbers[k][has[k]].tolist()})
+        at += n
+    seen = Counter()
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("n_words", pa.int64()), ("block", pa.int32()), ("cells", pa.binary()), ("keys", pa.list_(pa.int64()))]))
+    for value in {v for n in nodes for v in n["keys"]}:
+        members = [n for n in nodes if value in n["keys"]]
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            batch = pa.RecordBatch.from_arrays([pa.array([value]), pa.array([[m for m in members if m["block"] in (i, j)]], kind), pa.array([i]), pa.array([j])], ["value", "nodes", "i", "j"])
+            for out in neardup._block_batches(iter([batch])):
+                seen.update(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+    wanted = {(a, b) for b in range(12) for a in range(b) if a % 4 != b % 4 and set(nodes[a]["keys"]) & set(nodes[b]["keys"]) and neardup.similar(*(t.split() for t in (texts[a], texts[b])))}
+    assert wanted and wanted <= set(seen) and set(seen.values()) == {1}
+
+
 def changed(own, at, tag):
     return [f"{tag}{i}" if i in at else w for i, w in enumerate(own)]
 
@@ -411,6 +474,36 @@ def test_fingerprints(spark, empty):
     assert fingerprint.with_edits(empty, 4).count() == 0
 
 
+def test_likeness_of_long_texts(spark):
+    """Lanes don't wrap: estimates stay near the cosine of the sentence multisets."""
+    own = [f"Sentence {i} of many." for i in range(40_000)]
+    texts = {"whole": own, "half": own[:20_000], "other": [f"Different {i}." for i in range(40_000)], "one": ["The same."] * 20_000, "mix": own[:10_000] + ["The same."] * 100}
+    table = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "k string, text string")
+    found = {r.k: r.f for r in fingerprint.with_fingerprint(table, "text", "f").collect()}
+    pairs = [(a, b) for a in texts for b in texts]
+    rows = spark.createDataFrame([(a, b, found[a], found[b]) for a, b in pairs], "a string, b string, x array<long>, y array<long>")
+    for r in rows.select("a", "b", fingerprint.likeness(F.col("x"), F.col("y")).alias("near")).collect():
+        x, y = Counter(texts[r.a]), Counter(texts[r.b])
+        exact = sum(n * y[k] for k, n in x.items()) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+        assert abs(r.near - exact) < 0.3, (r.a, r.b, r.near, exact)
+    assert len(set(map(tuple, found.values()))) == len(texts)
+
+
+@pytest.mark.parametrize("ids", ["outlier", "null", "one", "large"])
+def test_buckets_hold_about_as_much_each(spark, ids):
+    """No bucket takes much more than its share, and the order is that of all rows."""
+    name = {"outlier": lambda i: 9 * 10**18 if i == 7 else i, "null": lambda i: None, "one": lambda i: 5, "large": lambda i: 2**63 - 1 - i}[ids]
+    rows = [(name(i), f"text {i} " + "x" * 50) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.select(F.when(F.col("doc_id").isNull(), 1).otherwise(0).cast("long").alias("cell"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("k1"), F.xxhash64("text").alias("k2"), F.lit(1).cast("long").alias("weight"))
+    _, counted = fingerprint.cells(keyed, 16)
+    assert sum(c[1] for c in counted) == 2000 and max(c[1] for c in counted) <= 2000 / 16
+    got = {r.text: r.next_text for r in fingerprint.with_next(df, 16, "text").collect()}
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))]
+    assert got == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
+
+
 def brute_lines(rows, least):
     docs = sorted({(2**63 if i is None else i, t) for i, t in rows if t is not None}, key=lambda d: d[0])
     first, gone = {}, {}
@@ -442,10 +535,44 @@ def test_line_runs(spark, docs, least):
             assert r.text == expected[r.doc_id, before[r.doc_id]] and r.n_lines == before[r.doc_id].count("\n") + 1
 
 
+def test_single_long_lines(spark):
+    """A line of enough characters counts alone; inner names don't clash with columns."""
+    rows = [(1, "a line that is long enough\nshort\nx"), (2, "y\na line that is long enough\nz\nshort"), (3, "w\nshort\nx\nshort"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"gone": F.lit(7), "doc_key": F.lit(8), "kept": F.lit(9)})
+    got = {r.doc_id: r for r in linededup.dedup_lines(table, alone=20).collect()}
+    assert {i: r.text for i, r in got.items()} == {1: rows[0][1], 2: "y\nz\nshort", 3: "w\nshort", None: None}
+    assert all((r.gone, r.doc_key, r.kept) == (7, 8, 9) for r in got.values()) and got[3].n_removed == 2
+    assert {r.text for r in linededup.dedup_lines(table.limit(4)).collect()} == {rows[0][1], rows[1][1], "w\nshort", None}
+
+
 def test_line_dedup_of_nothing(empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_shared_folder_is_refused_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quillstone.llm import common
+
+    remote = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(applicationId="app-x", master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        common.shared_folder(remote)
+    assert common.fresh(["gone", "_GONE"], "gone", "other") == ["__gone", "other"]
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, null ids, repeated rows and further columns go through every stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "some words of an item that nobody has")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, rows in (("empty", []), ("odd", [*CORPUS, CORPUS[4], (None, "alone in the world", None, None, 4)])):
+        docs = spark.createDataFrame(rows, SCHEMA).withColumns({"key": F.lit(1), "gone": F.lit(2), "_row": F.lit(3)})
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            kept = function(spark, docs, str(tmp_path))
+            assert kept.columns == docs.columns and (kept.count() == 0) == (name == "empty"), stage
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
