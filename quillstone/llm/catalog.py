@@ -90,6 +90,57 @@ SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM k
 """
 
 
+#: A run of 50 words that also starts in a smaller doc_id; words from a removed run's start to its end go.
+OP5_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t),
+r AS (SELECT doc_id, i, word, string_agg(word, ' ') OVER s AS run, count(*) OVER s AS n FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+k AS (SELECT doc_id, i, word, CASE WHEN n = 50 THEN md5(run) END AS run FROM r),
+o AS (SELECT run, min(doc_id) AS owner FROM k WHERE run IS NOT NULL GROUP BY run),
+h AS (SELECT k.doc_id, i, word, CASE WHEN o.owner < k.doc_id THEN i END AS hit FROM k LEFT JOIN o USING (run)),
+g AS (SELECT doc_id, i, word, coalesce(max(hit) OVER (PARTITION BY doc_id ORDER BY i), -99) > i - 50 AS gone FROM h),
+d AS (SELECT doc_id, count(*) AS n_words, count_if(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN d USING (doc_id)
+"""
+
+
+def mix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix counts: words of each document and of its source."""
+    return op3_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size")
+
+
+MIX_SIZES_SQL = r"""
+WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents)
+SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM t
+"""
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the filter reads in each url, and the rule that fits."""
+    return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+URL_RULES_SQL = f"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+k(rh, rp) AS (VALUES {", ".join(f"('{h}', '{p}')" for _, h, p in urlfilter.RULES)})
+SELECT page_id, host, path, (SELECT arg_max(rh || rp, length(rh || rp)) FROM k WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule FROM p
+"""
+
+
+def text_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of texts and digests of the edited ones that are fingerprinted."""
+    return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+TEXT_EDITS_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS following FROM t)
+SELECT doc_id, n AS n_chars, sha256(substr(text, 1, n - n // 2) || substr(following, 1, n // 2)) AS edited_sha256 FROM n
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -109,9 +160,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_fingerprints": op9_fingerprints,
         "op10_line_dedup": op10_line_dedup,
+        "mix_sizes": mix_sizes,
+        "url_rules": url_rules,
+        "text_edits": text_edits,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op10_line_dedup": OP10_SQL, "mix_sizes": MIX_SIZES_SQL, "url_rules": URL_RULES_SQL, "text_edits": TEXT_EDITS_SQL}
