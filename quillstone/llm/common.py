@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Removes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folder: dict[str, str] = {}
 
 
@@ -39,11 +42,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder: cuts the lineage, survives
-    lost executors, and is computed once however often it is read."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    lost executors, and is computed once however often it is read. Its shuffle files go
+    as soon as it is written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    schema, before = df.schema, spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def cleanup(spark: SparkSession) -> None:

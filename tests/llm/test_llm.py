@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontam, fingerprint, langid, licenses, linededup, mixing, neardup, ngramlm, passages, urlfilter, words
+from quillstone.llm import common, decontam, fingerprint, langid, licenses, linededup, mixing, neardup, ngramlm, passages, urlfilter, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -589,3 +589,13 @@ def test_pipeline(spark, tmp_path):
     assert set(got) == {*range(30), 105, 106} - {105} and got[106].size == 80
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "mix_sources"]
     assert sum(r.taken for r in got.values()) == pytest.approx(1.5 * sum(r.size for r in got.values()), rel=0.02)
+
+
+def test_settled_tables(spark):
+    before = spark.conf.get(common.SHUFFLE_CLEANUP)
+    table = common.settled(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert sorted(r["count"] for r in table.collect()) == [142] + [143] * 6
+    assert spark.conf.get(common.SHUFFLE_CLEANUP) == before
+    with pytest.raises(Exception):
+        common.settled(spark.range(3).select(F.raise_error(F.lit("no"))), "test")
+    assert spark.conf.get(common.SHUFFLE_CLEANUP) == before
