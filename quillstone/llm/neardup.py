@@ -118,8 +118,12 @@ def short_keys(own: np.ndarray) -> list[int]:
 
 
 def word_counts(own: np.ndarray) -> bytes:
-    """How many words of a text are in each of ``CELLS`` cells of their hashes, 255 at most."""
-    return np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes()
+    """How many words of a text are in each of ``CELLS`` cells of their hashes, 255 at most: a byte
+    for each cell or, if that is shorter, two bytes for the cell of each word."""
+    cells = (own >> np.uint64(40)).astype(np.int64) % CELLS
+    if 2 * len(own) < CELLS:
+        return np.sort(cells).astype(np.uint16).tobytes()
+    return np.minimum(np.bincount(cells, minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
@@ -201,7 +205,15 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _counted(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word counts of texts, in all cells and in a few."""
-    all_ = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, CELLS).astype(np.int16)
+    all_ = np.zeros((len(cells), CELLS), np.int16)
+    for start in range(0, len(cells), 1024):
+        part, here = cells[start : start + 1024], all_[start : start + 1024]
+        sizes = np.array([len(c) for c in part])
+        by_cell = sizes == CELLS
+        here[by_cell] = np.frombuffer(b"".join(c for c in part if len(c) == CELLS), np.uint8).reshape(-1, CELLS)
+        own = np.frombuffer(b"".join(c for c in part if len(c) != CELLS), np.uint16)
+        rows = np.repeat(np.arange(len(part) - by_cell.sum()), sizes[~by_cell] // 2)
+        here[~by_cell] = np.minimum(np.bincount(rows * CELLS + own, minlength=int((~by_cell).sum()) * CELLS), 255).reshape(-1, CELLS)
     return all_, all_.reshape(-1, COARSE, CELLS // COARSE).sum(axis=2)
 
 
@@ -211,15 +223,12 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum(apart, 0).sum(axis=-1), np.maximum(-apart, 0).sum(axis=-1))
 
 
-def _own_numbers(keys: pa.ListArray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sketch numbers (nodes x all sketches) of nodes of ``n`` words from their keys, and which of them a node has."""
-    out, has = np.zeros((len(n), SKETCHES + FEW_SKETCHES), np.int64), np.zeros((len(n), SKETCHES + FEW_SKETCHES), bool)
-    has[n >= LEAST, :SKETCHES] = True
-    has[n < FEW, SKETCHES:] = True
-    flat, at = keys.flatten().to_numpy(), np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())])
-    for i in range(len(n)):
-        own = np.flatnonzero(has[i])
-        out[i, own] = flat[at[i] : at[i] + len(own)]
+def _own_numbers(nodes: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch numbers (nodes x all sketches) from each node's lists ``numbers`` and ``sketches`` (null for none), and which of them a node has."""
+    out, has = np.zeros((len(nodes), SKETCHES + FEW_SKETCHES), np.int64), np.zeros((len(nodes), SKETCHES + FEW_SKETCHES), bool)
+    numbers, sketch = nodes.field("numbers"), nodes.field("sketches").flatten().to_numpy()
+    at = np.repeat(np.arange(len(nodes)), numbers.value_lengths().fill_null(0).to_numpy())
+    out[at, sketch], has[at, sketch] = numbers.flatten().to_numpy(), True
     return out, has
 
 
@@ -233,8 +242,9 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             node, root, n, block = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "n_words", "block"))
             order = np.lexsort((node, n))
             node, root, n, block = node[order], root[order], n[order], block[order]
-            all_, few = _counted(flat.field("cells").take(pa.array(order)).to_pylist())
-            numbers, has = _own_numbers(flat.field("keys").take(pa.array(order)), n)
+            flat = flat.take(pa.array(order))
+            all_, few = _counted(flat.field("cells").to_pylist())
+            numbers, has = _own_numbers(flat)
             # In order of words: similar texts are up to a quarter longer.
             ends = np.searchsorted(n, n / THRESHOLD + 1e-9, "right")
             left, right = [], []
@@ -357,12 +367,17 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _in_blocks(open_: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of nodes of a bucket with different roots that may be similar, from ``open_`` (value, node,
-    n_words, root): large buckets are cut into blocks, each two of which are one task's work."""
+    n_words, sketch, root): large buckets are cut into blocks, each two of which are one task's work.
+
+    A node brings its numbers of these buckets only: nodes with different roots have no others in common."""
     sizes = open_.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     sizes = sizes.select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = open_.join(sizes.hint("merge"), "value").join(nodes.select("node", "cells", "keys").hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    keys = open_.filter(F.col("sketch") < SKETCHES + FEW_SKETCHES).groupBy("node").agg(F.collect_list(F.struct("value", F.col("sketch").cast("byte").alias("sketch"))).alias("x"))
+    keys = keys.select("node", F.col("x")["value"].alias("numbers"), F.col("x")["sketch"].alias("sketches"))
+    placed = open_.join(sizes.hint("merge"), "value").join(nodes.select("node", "cells").hint("merge"), "node").join(keys.hint("merge"), "node", "left")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("node", "root", "n_words", "block", "cells", "keys").alias("own"))
+    dealt = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("node", "root", "n_words", "block", "cells", "numbers", "sketches").alias("own"))
     groups = dealt.groupBy("value", "i", "j").agg(F.collect_list("own").alias("nodes"))
     return settled(groups.mapInArrow(_block_batches, "a long, b long").distinct(), "near-rest")
 
@@ -389,11 +404,12 @@ def classes(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, digest string, n_words long, keys array<long>, cells binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
-    sketched = settled(rows.mapInArrow(_sketch_batches, schema), "near-sketches")
-    nodes = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_words", "keys", "cells")))
+    nodes = rows.mapInArrow(_sketch_batches, schema).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_words", "keys", "cells")))
     nodes = settled(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     # A key holds its place among the sketches, so it alone is a bucket.
-    keyed = nodes.filter("n_words > 0").select("node", "n_words", F.explode("keys").alias("value"))
+    keyed = nodes.filter("n_words > 0").select("node", "n_words", F.posexplode("keys").alias("sketch", "value"))
+    # Texts of under LEAST words have numbers of the second kind only; deletion keys come behind all.
+    keyed = keyed.withColumn("sketch", F.col("sketch") + F.when(F.col("n_words") < LEAST, SKETCHES).otherwise(0))
     buckets = keyed.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("node", "n_words")).alias("f")).filter("n > 1")
     buckets = settled(buckets.select("value", F.col("f.node").alias("first"), F.col("f.n_words").alias("n_first")), "near-buckets")
     members = settled(keyed.join(buckets.hint("merge"), "value"), "near-members")
@@ -420,7 +436,7 @@ def classes(docs: DataFrame) -> DataFrame:
     owners = settled(owners, "near-owners")
     named = owners.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min_by("digest", F.struct("doc_id", "digest")).alias("kept"))
     named = settled(owners.join(settled(named, "near-classes"), "root").select("digest", "class_id", "kept"), "near-named")
-    result = sketched.select("doc_id", "digest").join(named, "digest")
+    result = rows.select("doc_id", "digest").join(named, "digest")
     return result.select("doc_id", "digest", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("kept"))).alias("keep"))
 
 

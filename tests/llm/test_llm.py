@@ -325,20 +325,30 @@ def test_pairs_of_blocks():
     numbers, has = neardup._sketched(word, sizes)
     at, nodes = 0, []
     for k, n in enumerate(sizes.tolist()):
-        nodes.append({"node": k, "root": k % 4, "n_words": n, "block": k % 2, "cells": neardup.word_counts(word[at : at + n]), "keys": numbers[k][has[k]].tolist()})
+        nodes.append({"node": k, "root": k % 4, "n_words": n, "block": k % 2, "cells": neardup.word_counts(word[at : at + n]), "numbers": numbers[k][has[k]].tolist(), "sketches": np.flatnonzero(has[k]).tolist()})
         at += n
     seen = Counter()
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("n_words", pa.int64()), ("block", pa.int32()), ("cells", pa.binary()), ("keys", pa.list_(pa.int64()))]))
-    for value in {v for n in nodes for v in n["keys"]}:
-        members = [n for n in nodes if value in n["keys"]]
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("n_words", pa.int64()), ("block", pa.int32()), ("cells", pa.binary()), ("numbers", pa.list_(pa.int64())), ("sketches", pa.list_(pa.int8()))]))
+    for value in {v for n in nodes for v in n["numbers"]}:
+        members = [n for n in nodes if value in n["numbers"]]
         for i, j in ((0, 0), (0, 1), (1, 1)):
             batch = pa.RecordBatch.from_arrays([pa.array([value]), pa.array([[m for m in members if m["block"] in (i, j)]], kind), pa.array([i]), pa.array([j])], ["value", "nodes", "i", "j"])
             for out in neardup._block_batches(iter([batch])):
                 seen.update(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
-    wanted = {(a, b) for b in range(12) for a in range(b) if a % 4 != b % 4 and set(nodes[a]["keys"]) & set(nodes[b]["keys"]) and neardup.similar(*(t.split() for t in (texts[a], texts[b])))}
+    wanted = {(a, b) for b in range(12) for a in range(b) if a % 4 != b % 4 and set(nodes[a]["numbers"]) & set(nodes[b]["numbers"]) and neardup.similar(*(t.split() for t in (texts[a], texts[b])))}
     assert wanted and wanted <= set(seen) and set(seen.values()) == {1}
 
 
+def test_word_counts():
+    """Both forms of the counts, mixed, over more texts than are counted at once; most words of a cell are 255."""
+    texts = [np.array([rng.randrange(1 << 63) for _ in range(rng.choice([0, 1, 9, 511, 512, 700]))], np.uint64) for _ in range(1500)]
+    texts += [np.full(n, 12345, np.uint64) for n in (300, 511, 512, 2000)]
+    wanted = np.array([[min(c[i], 255) for i in range(neardup.CELLS)] for c in (Counter(((t >> np.uint64(40)) % np.uint64(neardup.CELLS)).tolist()) for t in texts)])
+    all_, few = neardup._counted([neardup.word_counts(t) for t in texts])
+    assert (all_ == wanted).all() and (few.sum(axis=1) == wanted.sum(axis=1)).all()
+    assert neardup._counted([])[0].shape == (0, neardup.CELLS)
+
+
 def changed(own, at, tag):
     return [f"{tag}{i}" if i in at else w for i, w in enumerate(own)]
 
