@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import dates, fields, identifiers, numerals, scanner
 from quillstone.functions import text as tx
+from quillstone.functions.text import similarity
 from quillstone.operators import arbitrate, evaluate, gates, imaging, layout, lines, process, render
+from quillstone.plans import catalog, inputs
 from quillstone.sources import files, recognition, sinks
 from quillstone.streaming import jobs
 
@@ -171,6 +173,38 @@ def test_arbitration():
     assert arbitrate.arbitrate([line("a", 0, 1.0)], [])["messages"] == []
 
 
+def test_most_similar_line():
+    rng = random.Random(4)
+    for _ in range(3000):
+        text, *others = ("".join(rng.choices("abcd", k=rng.randint(0, 6))) for _ in range(rng.randint(1, 6)))
+        at, score = max(((i, similarity(text, t)) for i, t in enumerate(others)), key=lambda m: m[1], default=(None, 0.0))
+        assert arbitrate.likest(text, list(enumerate(others))) == (at if score > 0 else None)
+
+
+def test_arbitration_of_pages(spark, tmp_path):
+    """Texts of documents go through one shuffle and Python never sees a word's box: before, words were shuffled twice and all were Python objects at once."""
+    rng = random.Random(5)
+    texts = ["\n".join(" ".join(rng.choices(["the", "40", "hat", "\u00a0x ", "", "0th"], k=rng.randint(0, 9))) for _ in range(rng.randint(1, 99))) for _ in range(20)]
+    docs = [(i if i < 15 else 3, t) for i, t in enumerate(texts)] + [(30, ""), (31, None), (None, "the")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = inputs.page_lines(spark, str(tmp_path))
+    plain = lines.page_lines(lines.lines(lines.clean_words(inputs.words(spark, str(tmp_path)))))
+    assert made.schema["lines"].dataType.simpleString() == plain.schema["lines"].dataType.simpleString()
+    listed = {(r.doc_id, r.page): r.lines for r in made.collect()}
+    assert listed == {(r.doc_id, r.page): r.lines for r in plain.collect()}
+
+    query = catalog.queries()["arbitration"](spark, str(tmp_path))
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    assert "x0" not in plan.split("MapInArrow")[0] and plan.count("Aggregate") == 1
+    other = F.transform("lines", lambda x: F.struct(F.lit("second").alias("engine"), F.transform(x["words"], lambda w: F.struct(F.translate(w["text"], "th0", "tn8").alias("text"), *(w[c].alias(c) for c in ("x0", "y0", "x1", "y1")), F.lit(0.5).alias("conf"))).alias("words")))
+    pages = made.select("doc_id", "page", F.col("lines").alias("primary"), other.alias("secondary"))
+    pages = pages.unionByName(pages.orderBy("doc_id", "page").limit(1).withColumns({"doc_id": F.lit("none"), "primary": F.lit(None).cast(pages.schema["primary"].dataType)}))
+    expected = {(r.doc_id, r.page): arbitrate.arbitrate(r.primary, r.secondary) for r in pages.collect()}
+    found = {(r.doc_id, r.page): {"lines": r.lines, "messages": r.messages} for r in arbitrate.agreed(pages).collect()}
+    assert found == expected
+    assert {(r.doc_id, r.page): (r.lines, r.disagreements) for r in query.collect()} == {k: (len(v["lines"]), len(v["messages"])) for k, v in expected.items() if k[0] != "none"}
+
+
 def test_evaluation_over_files(spark, tmp_path):
     gt, pred = tmp_path / "gt", tmp_path / "pred"
     gt.mkdir(), pred.mkdir()
