@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are read as passages of 64 words, one beginning every 32. Passages are
-TF-IDF vectors over the words of the benchmark; a randomised SVD, distributed over
-passages, gives a latent space, and passages close to a benchmark item there are
+TF-IDF vectors over the words of the benchmark; a randomised SVD over the passages of all
+documents, in one pass, gives a latent space, and passages close to a benchmark item there are
 candidates. A candidate is confirmed by the longest common subsequence of the
 item's words and the text around the passage, and by the item's answer (its end).
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import fresh, settled
+from .common import fresh
 
 HALF = 32  # words; a passage is two of these
 #: Candidates have at least this cosine; confirmed ones this share of the item's
@@ -127,12 +127,6 @@ class Plan:
         return out
 
 
-def passages_of(at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, word number) of each occurrence: passage p covers halves p and p + 1."""
-    half = at // HALF
-    return np.concatenate([half, half - 1]), np.concatenate([number, number])
-
-
 def common_words(places: dict[int, int], n: int, other: list[int]) -> int:
     """Length of the longest common subsequence; places: bits of each word's positions in the first."""
     full = (1 << n) - 1
@@ -252,59 +246,79 @@ def _document_counts(vocabulary: np.ndarray):
     return run
 
 
-def _rows(vocabulary: np.ndarray, idf: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit TF-IDF rows of a text's passages, as (row start, word, weight)."""
-    passage, number = passages_of(*lookup(vocabulary, found))
-    if not len(passage):
-        return np.zeros(0, np.int64), number, np.zeros(0, np.float32)
-    key, tf = np.unique(passage * len(vocabulary) + number, return_counts=True)
-    passage, number = key // len(vocabulary), key % len(vocabulary)
+def _add_products(out: np.ndarray, find: Lookup, idf: np.ndarray, right: np.ndarray, found: np.ndarray, sizes: np.ndarray, slab: int = 2048) -> None:
+    """Adds A' A right to ``out``, A being the unit TF-IDF rows of all passages of some texts, ``sizes``
+    words of each in ``found``. Handled ``slab`` halves or as many words at a time, whatever a text's length."""
+    at, number = find(found)
+    if not len(at):
+        return
+    n = len(idf)
+    # Halves of all texts in a row with an empty one before each; passage p is of the halves p and p + 1.
+    text = np.repeat(np.arange(len(sizes)), sizes)[at]
+    halves = sizes // HALF + 1
+    half = (np.cumsum(halves + 1) - halves)[text] + (at - (np.cumsum(sizes) - sizes)[text]) // HALF
+    cell, tf = np.unique(half * n + number, return_counts=True)
+    half, number = cell // n, cell % n
     weight = (tf * idf[number]).astype(np.float32)
-    start = np.flatnonzero(np.diff(passage, prepend=passage[0] - 1))
-    norm = np.sqrt(np.add.reduceat(weight * weight, start))
-    return start, number, weight / np.repeat(norm, np.diff(np.append(start, len(number))))
-
-
-def _times(vocabulary: np.ndarray, idf: np.ndarray, right: np.ndarray, texts: list[str | None], gram: bool) -> np.ndarray:
-    """With A the passages of ``texts``: A' A right, or for ``gram`` (A right)' (A right)."""
-    size = right.shape[1] if gram else right.shape[0]
-    out = np.zeros((size, right.shape[1]), np.float32)
-    for _, found in _tokens(texts):
-        start, number, weight = _rows(vocabulary, idf, found)
-        if len(start):
-            left = np.add.reduceat(right[number] * weight[:, None], start, axis=0)
-            if gram:
-                out += left.T @ left
-            else:
-                np.add.at(out, number, np.repeat(left, np.diff(np.append(start, len(number))), axis=0) * weight[:, None])
-    return out
-
-
-def _distributed(sample: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, right: np.ndarray, gram: bool) -> np.ndarray:
-    """``_times`` over a DataFrame of texts: each task sums its passages, then rows are summed by number."""
-    shape = (right.shape[1] if gram else right.shape[0], right.shape[1])
-    held = sample.sparkSession.sparkContext.broadcast((vocabulary, idf, right))
+    width = int(half[-1]) + 2
+    here, first = np.unique(half, return_index=True)
+    sums, ends = np.zeros((width, right.shape[1]), np.float32), np.append(first, len(cell))
+    for lo in range(0, len(here), slab):
+        hi = min(lo + slab, len(here))
+        own = slice(ends[lo], ends[hi])
+        sums[here[lo:hi]] = np.add.reduceat(right[number[own]] * weight[own, None], first[lo:hi] - ends[lo], axis=0)
+    # The square of a passage's length: those of its halves, and twice what words in both have in common.
+    square = np.bincount(half, weight.astype(np.float64) ** 2, width)
+    after = np.minimum(np.searchsorted(cell, cell + n), len(cell) - 1)
+    both = np.flatnonzero(cell[after] == cell + n)
+    square[:-1] += square[1:] + np.bincount(half[both], 2.0 * weight[both] * weight[after[both]], width)[:-1]
+    sums[:-1] += sums[1:]
+    sums /= np.maximum(square, 1e-12)[:, None].astype(np.float32)
+    sums[1:] += sums[:-1].copy()
+    order = np.argsort(number, kind="stable")
+    for lo in range(0, len(order), HALF * slab):
+        some = order[lo : lo + HALF * slab]
+        start = np.flatnonzero(np.diff(number[some], prepend=-1))
+        out[number[some][start]] += np.add.reduceat(weight[some, None] * sums[half[some]], start, axis=0)
+
+
+def products(docs: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A' A right, A being the passages of all of ``docs`` (text): each task sums those of its texts, then rows are summed by number."""
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, right.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(shape, np.float32)
+        vocabulary, idf, right = held.value
+        out, find = np.zeros(right.shape), Lookup(vocabulary)
         for batch in batches:
-            out += _times(*held.value, batch.column("text").to_pylist(), gram)
+            for start in range(0, batch.num_rows, 256):
+                raw = [(t or "").lower().encode("utf-8", "replace") for t in batch.column("text").slice(start, 256).to_pylist()]
+                for lo, hi in words.chunks(raw):
+                    _add_products(out, find, idf, right, *words.hashes(raw[lo:hi], words.NOT_ALPHANUMERIC))
         some = np.flatnonzero(np.abs(out).sum(axis=1))
         for lo in range(0, len(some), 1000):
             part = some[lo : lo + 1000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([out[i].tobytes() for i in part], pa.binary())], ["number", "line"])
 
     def add(key, batch):
-        lines = np.stack([np.frombuffer(x, np.float32) for x in batch.column("line").to_pylist()]).sum(axis=0)
-        return pa.table({"number": pa.array([key[0].as_py()], pa.int64()), "line": pa.array([lines.astype(np.float32).tobytes()], pa.binary())})
-
-    parts = sample.select("text").mapInArrow(run, "number long, line binary").groupBy("number").applyInArrow(add, "number long, line binary")
-    total = np.zeros(shape, np.float32)
-    for r in parts.collect():
-        total[r.number] = np.frombuffer(r.line, np.float32)
+        # Sorted: the order in which tasks end is none of the result's.
+        lines = np.stack([np.frombuffer(x) for x in sorted(batch.column("line").to_pylist())]).sum(axis=0)
+        return pa.table({"number": pa.array([key[0].as_py()], pa.int64()), "line": pa.array([lines.tobytes()], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(run, "number long, line binary").groupBy("number").applyInArrow(add, "number long, line binary")
+    total = np.zeros(right.shape)
+    for r in parts.toLocalIterator():
+        total[r.number] = np.frombuffer(r.line)
     return total
 
 
+def principal(start: np.ndarray, product: np.ndarray) -> np.ndarray:
+    """Approximate singular vectors of A from ``product`` = A' A start (randomised, by Nyström): unit columns, the strongest first."""
+    core = start.T @ product
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    kept = value > 1e-9 * max(float(value.max(initial=0.0)), 1e-30)
+    return np.linalg.svd(product @ (vector[:, kept] / np.sqrt(value[kept])), full_matrices=False)[0]
+
+
 @dataclass
 class Statistics:
     """What the corpus says on the words of all items: passages each is in, passages and texts in all."""
@@ -331,12 +345,6 @@ def statistics(docs: DataFrame, items: list[tuple[int, str]], most_words: int =
     return Statistics(vocabulary, counts, other.get(-1, 0), other.get(-2, 0))
 
 
-def fit_sample(docs: DataFrame, texts: int, fit_rows: int) -> DataFrame:
-    """About ``fit_rows`` of the ``texts`` rows of ``docs``: those of the lowest text hashes, a fixed share whatever the copies."""
-    share = min(1.0, fit_rows / max(1, texts))
-    return docs.select("text").filter(F.xxhash64("text") <= int(-(2**63) + share * (2**64 - 1025)))
-
-
 def unweighted(idf: np.ndarray, common: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
     """Which of the ``common`` words carry no weight: all but those of items that would lose
     more than 40 % of their own weight. Decided on ``common`` as it is, for each item alone."""
@@ -347,20 +355,19 @@ def unweighted(idf: np.ndarray, common: np.ndarray, items: list[np.ndarray]) ->
     return gone
 
 
-def fit(docs: DataFrame, items: list[tuple[int, str]], fit_rows: int = 3000, stop_share: float = 0.05, known: Statistics | None = None, sample: DataFrame | None = None) -> Latent | None:
+def fit(docs: DataFrame, items: list[tuple[int, str]], stop_share: float = 0.05, known: Statistics | None = None) -> Latent | None:
     """Latent space for some benchmark items, or None if they have no words.
 
     Passage counts for idf cover all of ``docs``; words in over ``stop_share`` of
     the passages carry no weight unless they are over 40 % of an item's weight. The SVD
-    is fitted on the items themselves and about ``fit_rows`` documents (lowest text
-    hashes); the space holds every item whole, so a cosine in it is never less than
-    the exact one. ``known`` and ``sample`` spare the passes over ``docs``.
+    is fitted on the items themselves and every passage of ``docs``, in one more pass; the
+    space holds every item whole, so a cosine in it is never less than the exact one.
+    ``known`` spares the pass that counts.
     """
     hashed = {i: found for (i, _), (_, found) in zip(items, _tokens([t for _, t in items]), strict=True) if len(found)}
     if not hashed:
         return None
     known = known or statistics(docs, items)
-    sample = fit_sample(docs, known.texts, fit_rows) if sample is None else sample
     vocabulary = np.unique(np.concatenate(list(hashed.values())))
     counts = known.counts[np.searchsorted(known.vocabulary, vocabulary)]
     idf = np.maximum(np.log((known.total + 2.0) / (counts + 1.0)), 0.1).astype(np.float32)
@@ -381,18 +388,13 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], fit_rows: int = 3000, sto
     unit = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
 
     # The items span a part of the space, so none of an item is lost in it; passages add up to 64 directions.
-    rank = min(len(vocabulary), 64)
-    start = np.random.default_rng(2).standard_normal((len(vocabulary), rank)).astype(np.float32)
-    y = _distributed(sample, vocabulary, idf, start, gram=False) + unit.T @ (unit @ start)
-    spread = y / np.maximum(np.linalg.norm(y, axis=0, keepdims=True), 1e-9)
+    # Cosines depend on the space alone, not on the axes in it.
+    start = np.random.default_rng(2).standard_normal((len(vocabulary), min(len(vocabulary), 64))).astype(np.float32).astype(np.float64)
+    spread = principal(start, products(docs, vocabulary, idf, start) + unit.T @ (unit @ start))
     basis = np.linalg.qr(np.concatenate([unit.T, spread], axis=1))[0].astype(np.float32)
-    own = unit @ basis
-    gram = _distributed(sample, vocabulary, idf, basis, gram=True) + own.T @ own
-    _, rotation = np.linalg.eigh(gram.astype(np.float64))
-    projection = (basis @ rotation[:, ::-1].astype(np.float32)).astype(np.float32)
-    latent = dense @ projection
+    latent = dense @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Latent(vocabulary, projection * idf[:, None], latent, piece_item, [(i, hashed[i].tolist()) for i in names])
+    return Latent(vocabulary, basis * idf[:, None], latent, piece_item, [(i, hashed[i].tolist()) for i in names])
 
 
 def _hits_udf(held):
@@ -424,13 +426,13 @@ def blocks_of_items(items: list[tuple[int, str]], words_at_once: int, items_at_o
         yield block
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, items_at_once: int = 400, words_at_once: int = 20_000, most_items: int = 1_000_000, fit_rows: int = 3000) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, items_at_once: int = 400, words_at_once: int = 20_000, most_items: int = 1_000_000) -> DataFrame:
     """``docs`` (text, ...) with ``hits``: an array of the benchmark items (item_id, text) found
     in the text, with cosine, common_words, item_words and whether the answer is there.
 
     Every whole text is searched for all items, ``items_at_once`` and ``words_at_once`` words of them
     at a time (which bounds what is broadcast); no text is shuffled. One pass counts the words of
-    all items, the SVD of every block reads one sample. Null or empty texts and items
+    all items, one for every block of them is its SVD, each over all of ``docs``. Null or empty texts and items
     have no hits; an item under 8 words counts only with 80 % of its words; equal
     rows have equal hits; repeated and null item_id are found each for itself. Raises
     ValueError beyond ``most_items`` items, or for one of over ``words_at_once`` words. Other
@@ -444,11 +446,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, items_at_once: int = 400, w
     docs = docs.drop("hits")
     items = list(enumerate(t for _, t in chosen))
     known = statistics(docs, items) if items else None
-    sample, columns = None, []
+    columns = []
     for block in blocks_of_items(items, words_at_once, items_at_once):
-        if sample is None:
-            sample = settled(fit_sample(docs, known.texts, fit_rows), "decontam-sample")
-        latent = fit(docs, block, known=known, sample=sample)
+        latent = fit(docs, block, known=known)
         if latent is None:
             continue
         latent.items = [(chosen[k][0], found) for k, found in latent.items]

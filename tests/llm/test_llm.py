@@ -146,6 +146,34 @@ def test_common_words():
         assert decontam.common_words(decontam._places(a), len(a), b) == row[-1][-1]
 
 
+def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """Products with all passages against plain ones, and all of 4040 texts in them; a sample of 3000 was fitted before."""
+    texts = [sentence(rng.randrange(0, 200), 30, "c") for _ in range(40)] + ["", None, sentence(3000, 30, "c")]
+    hashed = [own for _, own in decontam._tokens(texts)]
+    vocabulary = np.unique(np.concatenate(hashed))[::2]
+    idf, right = np.linspace(0.5, 3, len(vocabulary)).astype(np.float32), np.random.default_rng(1).standard_normal((len(vocabulary), 5))
+    rows = []
+    for own in hashed:
+        for p in range(-1, len(own) // 32 + 1):
+            row = np.array([np.count_nonzero(own[max(0, 32 * p) : 32 * p + 64] == v) for v in vocabulary]) * idf
+            rows += [row / np.linalg.norm(row)] if row.any() else []
+    plain = np.array(rows)
+    got = decontam.products(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), vocabulary, idf, right)
+    assert np.allclose(got, plain.T @ (plain @ right), rtol=1e-4, atol=1e-4)
+    out = np.zeros(right.shape)
+    decontam._add_products(out, decontam.Lookup(vocabulary), idf, right.astype(np.float32), np.concatenate(hashed), np.array([len(x) for x in hashed]), slab=2)
+    assert np.allclose(out, got, rtol=1e-4, atol=1e-4)
+    vectors = decontam.principal(right, plain.T @ (plain @ right))
+    assert np.allclose(vectors.T @ vectors, np.eye(5), atol=1e-8)
+
+    items = [(0, "a b c d e f g h i j"), (1, "k l m n o p q r s t")]
+    many = [(f"only {i} here a b c",) for i in range(4000)] + [("k t " * 20,)] * 40
+    whole, read = decontam.products, []
+    monkeypatch.setattr(decontam, "products", lambda docs, *a: read.append(docs.count()) or whole(docs, *a))
+    found = decontam.with_hits(spark.createDataFrame(many, "text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert read == [4040] and found.filter("size(hits) > 0").count() == 0
+
+
 def test_latent_space_finds_items(spark):
     """Candidates of the latent search against exact TF-IDF cosines."""
     items = [(i, sentence(30, 3000, "q")) for i in range(40)]
