@@ -124,51 +124,67 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(one == other, 1.0).when(norm == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / norm)))
 
 
-#: Parts into which a cell with too much text is cut, and how many buckets there are at most.
+#: Parts into which a cell with too much text is cut (the first two into more, if there are more buckets), and how many buckets there are at most.
 FAN, MOST_BUCKETS = 256, 100_000
 
 
-def _cut(rows: DataFrame, cells: list[tuple]) -> DataFrame:
+def _part(key: Column, low: Column, exact: Column, width: Column, fan: int) -> Column:
+    """Number of the equal part of a range in which ``key`` is."""
+    # The difference of two bigints may be none.
+    off = F.when(exact, F.try_subtract(key, low).cast("double")).otherwise(key.cast("double") - low.cast("double"))
+    return F.least(F.lit(fan - 1), F.greatest(F.lit(0), F.floor(off / width))).cast("long")
+
+
+def _cut(rows: DataFrame, cells: list[tuple], fan: int = FAN, only: bool = False) -> DataFrame:
     """``rows`` (cell, k1, k2, ...) with those of ``cells`` (cell, by, low, exact, width, base) moved to
-    the cell ``base`` plus their place in order among equal parts of the range of key ``by``."""
+    the cell ``base`` plus their place in order among ``fan`` equal parts of the range of key ``by``; the
+    others stay, or with ``only`` go. The cells 0 and 1, in which all rows are at first, take no join."""
+    if all(name < 2 for name, *_ in cells):
+        moved = F.col("cell")
+        for name, by, low, exact, width, base in cells:
+            moved = F.when(F.col("cell") == name, F.lit(base).cast("long") + _part(F.col(f"k{by}"), F.lit(low).cast("long"), F.lit(exact), F.lit(width), fan)).otherwise(moved)
+        return (rows.filter(F.col("cell").isin([c[0] for c in cells])) if only else rows).withColumn("cell", moved)
     wide = rows.sparkSession.createDataFrame(cells, "cut long, by int, low long, exact boolean, width double, base long")
     key = F.when(F.col("by") == 1, F.col("k1")).otherwise(F.col("k2"))
-    # The difference of two bigints may be none.
-    off = F.when(F.col("exact"), (key - F.col("low")).cast("double")).otherwise(key.cast("double") - F.col("low").cast("double"))
-    part = F.least(F.lit(FAN - 1), F.greatest(F.lit(0), F.floor(off / F.col("width")))).cast("long")
-    moved = rows.join(F.broadcast(wide), F.col("cell") == F.col("cut"), "left")
+    moved = rows.join(F.broadcast(wide), F.col("cell") == F.col("cut"), "inner" if only else "left")
+    part = _part(key, F.col("low"), F.col("exact"), F.col("width"), fan)
     return moved.withColumn("cell", F.when(F.col("cut").isNull(), F.col("cell")).otherwise(F.col("base") + part)).drop("cut", "by", "low", "exact", "width", "base")
 
 
+def first_fan(buckets: int) -> int:
+    """Parts of the first cut: so many that ids spread evenly need no other."""
+    return max(FAN, 16 * buckets)
+
+
 def cells(keys: DataFrame, buckets: int) -> tuple[list[list[tuple]], list[tuple]]:
     """Cells of ``keys`` (cell, k1, k2, weight) of about an eighth of a bucket's weight at most: the cuts,
     level by level, and (cell, weight, first k1, first k2) in order.
 
-    Cell 0 holds the rows with an id, cell 1 those without. A cell with too much is cut into FAN
-    equal ranges of k1 while these differ, else of k2; only such cells are counted again, so no more
-    than FAN numbers a heavy cell reach the driver. Rows with equal k1 and k2 can't be told apart.
+    Cell 0 holds the rows with an id, cell 1 those without. A cell with too much is cut into equal ranges
+    (``first_fan`` at first, then FAN) of k1 while these differ, else of k2; only rows of such cells are
+    cut and counted again, so no more than so many numbers a heavy cell reach the driver. Rows with equal
+    k1 and k2 can't be told apart.
     """
     cuts: list[list[tuple]] = []
     whole, order, next_name, found = None, [0, 1], 2, {}
     while True:
-        some = keys if not cuts else keys.filter(F.col("cell") >= first_name)
-        stats = some.groupBy("cell").agg(F.sum("weight").alias("weight"), F.min(F.struct("k1", "k2")).alias("first"), *(f(k).alias(f"{n}_{k}") for k in ("k1", "k2") for n, f in (("low", F.min), ("high", F.max))))
+        stats = keys.groupBy("cell").agg(F.sum("weight").alias("weight"), F.min(F.struct("k1", "k2")).alias("first"), *(f(k).alias(f"{n}_{k}") for k in ("k1", "k2") for n, f in (("low", F.min), ("high", F.max))))
         fresh_cells = {r.cell: r for r in stats.collect()}
         found |= fresh_cells
         whole = whole or max(1, sum(r.weight for r in fresh_cells.values()))
-        level, first_name = [], next_name
+        level, fan, names = [], FAN if cuts else first_fan(buckets), {}
         for name, r in sorted(fresh_cells.items()):
             by, low, high = (1, r.low_k1, r.high_k1) if r.low_k1 < r.high_k1 else (2, r.low_k2, r.high_k2)
             if r.weight > whole / (8 * buckets) and low < high:
-                level.append((name, by, low, high - low < 2**62, (high - low + 1) / FAN, next_name))
-                at = order.index(name)
-                order[at : at + 1] = range(next_name, next_name + FAN)
-                next_name += FAN
+                level.append((name, by, low, high - low < 2**62, (high - low + 1) / fan, next_name))
+                names[name] = range(next_name, next_name + fan)
+                next_name += fan
                 del found[name]
         if not level:
             return cuts, [(c, found[c].weight, found[c]["first"].k1, found[c]["first"].k2) for c in order if c in found]
+        order = [x for c in order if c in found or c in names for x in names.get(c, (c,))]
         cuts.append(level)
-        keys = _cut(keys, level)
+        keys = _cut(keys, level, fan, only=True)
 
 
 def with_next(docs: DataFrame, buckets: int, *carried: str) -> DataFrame:
@@ -188,8 +204,8 @@ def with_next(docs: DataFrame, buckets: int, *carried: str) -> DataFrame:
     # ~id ascends as the id descends.
     keyed = docs.withColumns({"cell": F.when(number.isNull(), 1).otherwise(0).cast("long"), "k1": F.coalesce(F.bitwise_not(number), F.lit(0)), "k2": F.xxhash64("text")})
     cuts, counted = cells(keyed.select("cell", "k1", "k2", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("weight")), buckets)
-    for level in cuts:
-        keyed = _cut(keyed, level)
+    for i, level in enumerate(cuts):
+        keyed = _cut(keyed, level, FAN if i else first_fan(buckets))
     each = sum(c[1] for c in counted) / buckets
     plan, filled, bucket, starts = [], 0.0, -1, []
     for name, weight, k1, k2 in counted:

@@ -542,6 +542,15 @@ def test_buckets_hold_about_as_much_each(spark, ids):
     assert got == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
 
 
+def test_even_ids_take_one_join_whatever_the_buckets(spark):
+    """Rows were joined once more for each level of cuts, of which larger inputs had more."""
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    for buckets in (4, 64):
+        found = fingerprint.with_next(df, buckets, "text")
+        assert len(re.findall(r"Join \w", found._jdf.queryExecution().optimizedPlan().toString())) == 1
+        assert found.filter("next_text <> concat('text ', if(doc_id = 0, 4999, doc_id - 1))").count() == 0
+
+
 def brute_lines(rows, least):
     docs = sorted({(2**63 if i is None else i, t) for i, t in rows if t is not None}, key=lambda d: d[0])
     first, gone = {}, {}
