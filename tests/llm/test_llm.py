@@ -174,6 +174,18 @@ def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
     assert read == [4040] and found.filter("size(hits) > 0").count() == 0
 
 
+def test_pipeline_decontaminates_by_all_documents(spark, monkeypatch, tmp_path):
+    """The stage's latent space is fitted on every document it gets; it was a sample of 3000."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(0, "a b c d e f g h i j")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(i, f"only {i} here a b c") for i in range(4000)] + [(4000, "x a b c d e f g h i j y")], "doc_id long, text string")
+    whole, read = decontam.products, []
+    monkeypatch.setattr(decontam, "products", lambda docs, *a: read.append(docs.count()) or whole(docs, *a))
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert kept.count() == 4000 and kept.filter("doc_id = 4000").count() == 0 and read == [4001]
+
+
 def test_latent_space_finds_items(spark):
     """Candidates of the latent search against exact TF-IDF cosines."""
     items = [(i, sentence(30, 3000, "q")) for i in range(40)]
