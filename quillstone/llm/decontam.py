@@ -111,19 +111,20 @@ class Plan:
         self.piece_item = np.array(latent.piece_item, np.int64)
 
     def possible(self, half: np.ndarray, number: np.ndarray, width: int) -> np.ndarray:
-        """(passages x items) whether enough of the item's words are around the passage: ``number``
-        are words in the halves ``half`` of ``width``, of which passage p covers p and p + 1."""
+        """(passages x items) whether enough of the item's words are around the passage and one is in
+        it: ``number`` are words in the halves ``half`` of ``width``, of which passage p covers p and p + 1."""
         n, count = len(self.sizes), self.first[number + 1] - self.first[number]
         ends = np.cumsum(count)
         at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(self.first[number], count)
         cell = np.bincount(np.repeat(half, count) * n + self.of_word[at], minlength=width * n).reshape(width, n)
-        upto = np.concatenate([np.zeros((1, n), np.int64), np.cumsum(cell, axis=0)])
-        out = np.zeros((width, n), bool)
-        for reach in np.unique(self.reach):
-            mine = np.flatnonzero(self.reach == reach)
-            p = np.arange(width)
-            around = upto[np.minimum(p + 2 + reach, width)][:, mine] - upto[np.maximum(p - reach, 0)][:, mine]
-            out[:, mine] = around >= self.needed[mine]
+        upto = np.zeros((width + 1, n), np.int32)
+        np.cumsum(cell, axis=0, out=upto[1:])
+        out = cell > 0
+        out[:-1] |= out[1:].copy()
+        row, item = np.nonzero(out)
+        reach = self.reach[item]
+        around = upto[np.minimum(row + 2 + reach, width), item] - upto[np.maximum(row - reach, 0), item]
+        out[row, item] = around >= self.needed[item]
         return out
 
 
@@ -154,8 +155,9 @@ def answer_of(item: list[int]) -> list[int]:
 def search(latent: Latent, texts: list[str | None]) -> list[list[tuple]]:
     """Confirmed hits of each text: (item_id, cosine, common_words, item_words, answer).
 
-    Only passages around which some item has as many words as its confirmation takes are
-    projected, which loses none: the longest common subsequence has no word that isn't there.
+    Only passages around which some item has as many words as its confirmation takes, and which
+    hold a weighted word of it, are projected. That loses none: the longest common subsequence has
+    no word that isn't there, and the space holds items whole, so without such a word a cosine is 0.
     """
     best: list[dict[int, tuple]] = [{} for _ in texts]
     raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
@@ -237,9 +239,9 @@ def _document_counts(vocabulary: np.ndarray):
                     half, number = different // max(1, len(vocabulary)), different % max(1, len(vocabulary))
                     # A word in n halves is in 2 n passages, less one for each two neighbouring halves.
                     counts += 2 * np.bincount(number, minlength=len(vocabulary))
-                    next_half = different + len(vocabulary)
-                    both = next_half[np.isin(next_half, different, assume_unique=True)] % max(1, len(vocabulary))
-                    counts -= np.bincount(both, minlength=len(vocabulary))
+                    if len(different):
+                        after = np.minimum(np.searchsorted(different, different + len(vocabulary)), len(different) - 1)
+                        counts -= np.bincount(number[different[after] == different + len(vocabulary)], minlength=len(vocabulary))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(counts[some], [total, texts]))], ["word", "passages"])
 

@@ -121,6 +121,21 @@ def test_search_skips_nothing_that_can_be_confirmed(spark, monkeypatch):
     assert [[h[0] for h in a] for a in decontam.search(latent, texts)] == [[h[0] for h in a] for a in found]
 
 
+def test_search_projects_only_passages_with_a_weighted_word_of_an_item(spark, monkeypatch):
+    """An item of frequent words, which any passage might have, was a reason to project every passage."""
+    often = "a b c d e f"
+    items = [(0, f"{often} rare seldom"), (1, sentence(40, 300, "w"))]
+    texts = [f"{often} " * 30 for _ in range(200)] + [f"{often} {sentence(90, 300, 'w')} {items[i % 2][1]} {often}" for i in range(40)]
+    latent = decontam.fit(spark.createDataFrame([(t,) for t in texts], "text string"), items)
+    rare = latent.plan.lookup(words.hashes([b"rare"], words.NOT_ALPHANUMERIC)[0])[1][0]
+    assert latent.plan.needed[0] <= 0
+    assert np.flatnonzero(latent.plan.possible(np.array([0, 5]), np.array([rare, rare]), 8)[:, 0]).tolist() == [0, 4, 5]
+    found = decontam.search(latent, texts)
+    assert [[h[0] for h in own] for own in found[200:]] == [[i % 2] for i in range(40)]
+    monkeypatch.setattr(decontam.Plan, "possible", lambda plan, half, number, width: np.ones((width, 2), bool))
+    assert [[(h[0], *h[2:]) for h in own] for own in decontam.search(latent, texts)] == [[(h[0], *h[2:]) for h in own] for own in found]
+
+
 def test_passage_counts():
     """Passages each word is in, against a direct count."""
     texts = [sentence(rng.randrange(0, 200), 30, "c") for _ in range(20)] + ["", None]
