@@ -116,16 +116,18 @@ class Plan:
         n, count = len(self.sizes), self.first[number + 1] - self.first[number]
         ends = np.cumsum(count)
         at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(self.first[number], count)
-        cell = np.bincount(np.repeat(half, count) * n + self.of_word[at], minlength=width * n).reshape(width, n)
-        upto = np.zeros((width + 1, n), np.int32)
-        np.cumsum(cell, axis=0, out=upto[1:])
-        out = cell > 0
-        out[:-1] |= out[1:].copy()
-        row, item = np.nonzero(out)
-        reach = self.reach[item]
-        around = upto[np.minimum(row + 2 + reach, width), item] - upto[np.maximum(row - reach, 0), item]
-        out[row, item] = around >= self.needed[item]
-        return out
+        cell = np.bincount(self.of_word[at] * width + np.repeat(half, count), minlength=width * n).reshape(n, width)
+        upto, p = np.zeros((n, width + 1), np.int32), np.arange(width)
+        np.cumsum(cell, axis=1, out=upto[:, 1:])
+        out = np.zeros((n, width), bool)
+        for reach in np.unique(self.reach):
+            mine = np.flatnonzero(self.reach == reach)
+            own = upto[mine]
+            around = own[:, np.minimum(p + 2 + reach, width)] - own[:, np.maximum(p - reach, 0)]
+            item, row = np.divmod(np.flatnonzero(around >= np.maximum(self.needed[mine], 1)[:, None].astype(np.int32)), width)
+            inside = own[item, np.minimum(row + 2, width)] > own[item, row]
+            out[mine[item[inside]], row[inside]] = True
+        return out.T
 
 
 def common_words(places: dict[int, int], n: int, other: list[int]) -> int:
@@ -197,27 +199,47 @@ def _search_chunk(latent: Latent, found: np.ndarray, sizes: np.ndarray, best: li
         wanted = np.zeros(len(possible) + 1, bool)
         wanted[passage] = wanted[passage + 1] = True
         some = np.flatnonzero(wanted[own_half])
-        here, first = np.unique(own_half[some], return_index=True)
+        first = np.flatnonzero(np.diff(own_half[some], prepend=-1))
+        here = own_half[some][first]
         sums = np.zeros((len(possible) + 1, latent.projection.shape[1]), np.float32)
         if len(some):
-            sums[here] = np.add.reduceat(latent.projection[own_number[some]], first, axis=0)
+            sums[here] = _sums(latent.projection, own_number[some], first)
         both = sums[passage] + sums[passage + 1]
         norm = np.linalg.norm(both, axis=1, keepdims=True)
         cosine = (both / np.maximum(norm, 1e-9)) @ latent.pieces.T
-        for p, piece in zip(*np.nonzero((cosine >= COSINE) & possible[passage][:, plan.piece_item]), strict=True):
+        for p, piece in zip(*np.divmod(np.flatnonzero((cosine >= COSINE) & possible[passage][:, plan.piece_item]), len(plan.piece_item)), strict=True):
             item = latent.piece_item[piece]
             row = int(np.searchsorted(base - 1, passage[p] + left, "right")) - 1
             n, words_here = int(plan.sizes[item]), int(sizes[row])
             begin = (int(passage[p]) + left - int(base[row])) * HALF
             around = found[begins[row] + max(0, begin - n) : begins[row] + min(words_here, max(0, begin + 2 * HALF + n))].tolist()
             places, answer, m = plan.bits[item]
+            # Different words of the item that aren't there are words less.
+            if n - len(places) + len(places.keys() & set(around)) < (REWORDED if n >= 8 else COPIED) * n:
+                continue
             common = common_words(places, n, around)
+            if common < REWORDED * n:
+                continue
             answered = common_words(answer, m, around) >= ANSWERED * m
-            if common >= COPIED * n or (common >= REWORDED * n and answered and n >= 8):
+            if common >= COPIED * n or (answered and n >= 8):
                 now = (common, float(cosine[p, piece]), answered)
                 best[row][item] = max(best[row].get(item, now), now)
 
 
+def _sums(rows: np.ndarray, number: np.ndarray, first: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Sums of ``rows[number]``, times ``weight``, over the short runs that begin at ``first``: the first of every run, then the second ..."""
+    size = np.diff(first, append=len(number))
+    order = np.argsort(-size, kind="stable")
+    begin, longest = first[order], -size[order]
+    out = np.zeros((len(first), rows.shape[1]), rows.dtype)
+    for k in range(-int(longest[0]) if len(first) else 0):
+        at = begin[: np.searchsorted(longest, -k)] + k
+        out[: len(at)] += rows[number[at]] if weight is None else rows[number[at]] * weight[at, None]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out[back]
+
+
 def _document_counts(vocabulary: np.ndarray):
     """Task: how many passages each word is in, and (word -1) how many passages there are, (word -2) texts."""
 
@@ -235,7 +257,8 @@ def _document_counts(vocabulary: np.ndarray):
                     # Halves of all texts in a row with an empty one between them.
                     text = np.repeat(np.arange(len(sizes)), sizes)[at]
                     half = (np.cumsum(halves + 1) - halves)[text] + (at - (np.cumsum(sizes) - sizes)[text]) // HALF
-                    different = np.unique(half * len(vocabulary) + number)
+                    cell = np.sort(half * len(vocabulary) + number, kind="stable")
+                    different = cell[np.diff(cell, prepend=-1) > 0]
                     half, number = different // max(1, len(vocabulary)), different % max(1, len(vocabulary))
                     # A word in n halves is in 2 n passages, less one for each two neighbouring halves.
                     counts += 2 * np.bincount(number, minlength=len(vocabulary))
@@ -268,7 +291,7 @@ def _add_products(out: np.ndarray, find: Lookup, idf: np.ndarray, right: np.ndar
     for lo in range(0, len(here), slab):
         hi = min(lo + slab, len(here))
         own = slice(ends[lo], ends[hi])
-        sums[here[lo:hi]] = np.add.reduceat(right[number[own]] * weight[own, None], first[lo:hi] - ends[lo], axis=0)
+        sums[here[lo:hi]] = _sums(right, number[own], first[lo:hi] - ends[lo], weight[own])
     # The square of a passage's length: those of its halves, and twice what words in both have in common.
     square = np.bincount(half, weight.astype(np.float64) ** 2, width)
     after = np.minimum(np.searchsorted(cell, cell + n), len(cell) - 1)

@@ -136,6 +136,18 @@ def test_search_projects_only_passages_with_a_weighted_word_of_an_item(spark, mo
     assert [[(h[0], *h[2:]) for h in own] for own in decontam.search(latent, texts)] == [[(h[0], *h[2:]) for h in own] for own in found]
 
 
+def test_sums_of_short_runs():
+    """Sums by rank in the run against plain ones, runs of one to 32 and none at all."""
+    draw = np.random.default_rng(3)
+    size = draw.integers(1, 33, 200)
+    first, number = np.cumsum(size) - size, draw.integers(0, 50, size.sum())
+    rows, weight = draw.standard_normal((50, 7)).astype(np.float32), draw.random(size.sum()).astype(np.float32)
+    for w in (None, weight):
+        plain = [(rows[number[a : a + n]] * (1 if w is None else w[a : a + n, None])).sum(axis=0) for a, n in zip(first, size, strict=True)]
+        assert np.allclose(decontam._sums(rows, number, first, w), plain, atol=1e-5)
+        assert decontam._sums(rows, number[:0], first[:0], None if w is None else w[:0]).shape == (0, 7)
+
+
 def test_passage_counts():
     """Passages each word is in, against a direct count."""
     texts = [sentence(rng.randrange(0, 200), 30, "c") for _ in range(20)] + ["", None]
